@@ -21,7 +21,7 @@ STEPS = 32
 MIN_WORDS = 50
 #: Share (per mille, of words unless said otherwise) -> slack added to the quartiles' distance, so
 #: that a uniform group doesn't reject its own small deviations.
-SHARES = {"symbols": 150, "dup_lines": 150, "repeats": 150, "capitals": 150, "word_len": 1000}
+SHARES = {"symbols": 100, "dup_lines": 150, "repeats": 150, "capitals": 150, "word_len": 1000}
 #: Shares that are also bounded from below.
 TWO_SIDED = ("word_len",)
 FENCE = 3
