@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recall_spark.llm import bpe, chat, langid, quality, sharding, simhash, urls
+from recall_spark.llm import bpe, chat, decontam, langid, linededup, quality, sharding, simhash, urls
 from recall_spark.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -61,10 +61,20 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "pattern")
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.assign(table(spark, sf_dir, "documents"), shards=8)
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_chat, op4_langid, op5_bpe, op6_urls, op8_sharding)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "text", "n_lines", "n_removed")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_chat, op4_langid, op5_bpe, op6_urls, op7_decontam, op8_sharding, op9_line_dedup)}
 ORACLE: dict[str, str] = {}
