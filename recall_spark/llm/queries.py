@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recall_spark.llm import bpe, chat, decontam, langid, linededup, quality, sharding, simhash, urls
+from recall_spark.llm import bpe, chat, decontam, langid, linededup, pii, quality, sharding, simhash, urls
 from recall_spark.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -76,5 +76,16 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "text", "n_lines", "n_removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_chat, op4_langid, op5_bpe, op6_urls, op7_decontam, op8_sharding, op9_line_dedup)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detected(table(spark, sf_dir, "documents"))
+    count = lambda no: F.size(F.filter("base", lambda s: s["kind"] == no)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[count(no).alias(f"n_{kind}") for no, kind in enumerate(pii.KINDS)],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_chat, op4_langid, op5_bpe, op6_urls, op7_decontam, op8_sharding, op9_line_dedup, op10_pii)}
 ORACLE: dict[str, str] = {}
