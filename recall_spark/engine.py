@@ -102,7 +102,7 @@ class MemoryEngine:
         return Found(out, self._fires(out, 1))
 
     def _fires(self, rows: DataFrame, times: int) -> DataFrame:
-        return rows.select("index_id", "neuron_id", self.as_of.alias("ts"), F.explode(F.sequence(F.lit(1), F.lit(times))).cast("long").alias("seq"))
+        return rows.select("index_id", "neuron_id", self.as_of.alias("ts"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(times).cast("long"))).alias("seq"))
 
     def context(self, query: str, max_tokens: int = 2000, depth: int | None = None) -> DataFrame:
         """One text of the best memories that fit a token budget."""

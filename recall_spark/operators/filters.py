@@ -34,8 +34,16 @@ TIMES = ("created_at", "last_fired_at", "last_co_fire")
 _ORDERED = {"$gt": "__gt__", "$gte": "__ge__", "$lt": "__lt__", "$lte": "__le__"}
 
 
+def _known(cond: Column) -> Column:
+    return F.coalesce(cond, F.lit(False))
+
+
 class FilterCompiler:
-    """Turns a filter dict into a boolean Column that is never null."""
+    """Turns a filter dict into a boolean Column for ``where``.
+
+    Where a field is missing the column may be null, which selects nothing; it is made false before
+    any negation. Left bare otherwise, comparisons can be pushed into the scan.
+    """
 
     def __init__(self, fields: dict[str, str] | None = None, strict: bool = False, metadata: bool = True) -> None:
         self.fields = FIELDS if fields is None else fields
@@ -62,7 +70,7 @@ class FilterCompiler:
             members = [self.compile(x) for x in cond if isinstance(x, dict)]
             return reduce(and_ if op == "$and" else or_, members, F.lit(op == "$and"))
         if op == "$not" and isinstance(cond, dict):
-            return ~self.compile(cond)
+            return ~_known(self.compile(cond))
         return F.lit(False)
 
     def _kind(self, field: str) -> str:
@@ -76,32 +84,32 @@ class FilterCompiler:
         if kind == "number":
             if isinstance(value, bool) or not isinstance(value, (int, float)) or (self.strict and self.fields[field] in INTEGER):
                 return F.lit(False)
-            return F.coalesce(col == F.lit(value), F.lit(False))
+            return col == F.lit(value)
         if kind == "time":
-            return F.lit(False) if self.strict else F.coalesce(col == F.lit(value).cast("timestamp_ntz"), F.lit(False))
+            return F.lit(False) if self.strict else col == F.lit(value).cast("timestamp_ntz")
         if kind == "tags":
-            return F.coalesce(col == F.array(*[F.lit(x) for x in value]), F.lit(False)) if isinstance(value, list) else F.lit(False)
-        return F.coalesce(col == F.lit(value), F.lit(False)) if isinstance(value, str) else F.lit(False)
+            return col == F.array(*[F.lit(x) for x in value]) if isinstance(value, list) else F.lit(False)
+        return col == F.lit(value) if isinstance(value, str) else F.lit(False)
 
     def _ordered(self, field: str, op: str, value: Any) -> Column:
         col, kind = self.column(field), self._kind(field)
         if kind == "time" and not self.strict and not isinstance(value, (int, float)):
-            return F.coalesce(getattr(col, _ORDERED[op])(F.lit(value).cast("timestamp_ntz")), F.lit(False))
+            return getattr(col, _ORDERED[op])(F.lit(value).cast("timestamp_ntz"))
         if kind != "number" or isinstance(value, bool) or not isinstance(value, (int, float)):
             return F.lit(False)
-        return F.coalesce(getattr(col, _ORDERED[op])(F.lit(value)), F.lit(False))
+        return getattr(col, _ORDERED[op])(F.lit(value))
 
     def _operator(self, field: str, op: str, value: Any) -> Column:
         col, kind = self.column(field), self._kind(field)
         if op == "$eq":
             return self._equal(field, value)
         if op == "$ne":
-            return ~self._equal(field, value)
+            return ~_known(self._equal(field, value))
         if op in _ORDERED:
             return self._ordered(field, op, value)
         if op in ("$in", "$nin"):
             found = reduce(or_, (self._equal(field, v) for v in value), F.lit(False)) if isinstance(value, list) else F.lit(False)
-            return found if op == "$in" else ~found
+            return found if op == "$in" else ~_known(found)
         if op == "$regex":
             if kind != "string" or not isinstance(value, str):
                 return F.lit(False)
@@ -109,7 +117,7 @@ class FilterCompiler:
                 re.compile(value)
             except re.error:
                 return F.lit(False)
-            return F.coalesce(col.rlike(value), F.lit(False))
+            return col.rlike(value)
         if op == "$exists":
             if not isinstance(value, bool):
                 raise ValueError("$exists takes true or false")
@@ -117,7 +125,7 @@ class FilterCompiler:
         if op == "$contains":
             if not isinstance(value, str):
                 raise ValueError("$contains takes a string")
-            return F.coalesce(F.contains(F.lower(col), F.lit(value.lower())), F.lit(False)) if kind == "string" else F.lit(True)
+            return F.contains(F.lower(col), F.lit(value.lower())) if kind == "string" else F.lit(True)
         return F.lit(True)  # an unknown operator doesn't restrict
 
 
