@@ -1,13 +1,13 @@
 """Removal of passages that repeat anywhere in the corpus, by content-defined chunks of lines.
 
-A line ends at a newline; longer lines are also broken at the end of a sentence or clause, so that
+A line ends at a newline; lines are also broken after a sentence or clause, so that
 a passage is found again when a page wraps it differently. A rolling hash over each line's hash and
 the one before it chooses chunk boundaries, so they depend on two lines only and shift with the
 text. Chunks of at least ``MIN_LINES`` lines and ``MIN_CHARS`` characters are counted by hash over
 all documents; chunks whose hash occurs again are compared byte for byte, and all but the first
-(least id, then place) of equal chunks are cut out. White space at a line's end doesn't count.
+(least id, then place) of equal chunks are cut out. White space and marks after a line's end don't count.
 
-Only hashes are shuffled for the counts. Texts of chunks move only to meet the hashes that repeat,
+Chunks without their texts are kept for the counts and for the last join. Texts of chunks move only to meet the hashes that repeat,
 and a hash whose texts aren't all equal is left alone.
 """
 
@@ -18,27 +18,23 @@ from pyspark.sql import functions as F
 
 from recall_spark.llm.common import cut, whole_row
 
-#: Zero-width places after which a new line starts.
-BREAK = r"(?<=\n)|(?<=[.!?,;:|] )"
+#: A line: anything up to a newline or a mark that ends a sentence or clause (group 1), and the white
+#: space and further marks after it. Possessive, so matching is linear and takes every character.
+LINE = r"([^\n.!?,;:|]*+[.!?,;:|]*+)[\n.!?,;:| ]*+"
 DIVISOR = 2
 MIN_LINES = 2
 MIN_CHARS = 40
 
 
-def lines(text: Column) -> Column:
-    """All of ``text`` in order, cut at line ends; the ends stay with their lines."""
-    return F.split(F.coalesce(text, F.lit("")), BREAK, -1)
-
-
-def _bare(line: Column) -> Column:
-    return F.rtrim(line, F.lit(" \n\r\t"))
+def lines(text: Column, group: int = 0) -> Column:
+    """All of ``text`` in order, cut into lines, with their ends or (group 1) without. The last is empty."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LINE), F.lit(group))
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataFrame:
     """``(id, a, z, hash)`` of each chunk that is long enough: lines ``a`` to before ``z``; with its
     ``bytes`` if ``texts``. Everything about a document is done inside its row."""
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), lines(F.col(f"`{text_col}`")).alias("lines"))
-    own = own.select("id", F.transform("lines", _bare).alias("lines")).where(F.size("lines") >= MIN_LINES)
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), lines(F.col(f"`{text_col}`"), 1).alias("lines"))
     own = own.select("id", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
     n = F.size("h")
     rolled = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), F.slice("h", 1, n - 1)), F.col("h"), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(DIVISOR)) == 0)
@@ -47,15 +43,14 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataFra
     spans = F.zip_with(F.col("starts"), F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("h"))), lambda a, z: F.struct(a.alias("a"), z.alias("z")))
     spans = F.filter(spans, lambda s: s["z"] - s["a"] >= MIN_LINES)
     part = lambda s: F.array_join(F.slice("lines", s["a"] + 1, s["z"] - s["a"]), "\n")
-    digest = lambda s: F.xxhash64(F.slice("h", s["a"] + 1, s["z"] - s["a"]))
-    full = F.transform(spans, lambda s: F.struct(s["a"].alias("a"), s["z"].alias("z"), digest(s).alias("hash"), part(s).alias("bytes")))
+    full = F.transform(spans, lambda s: F.struct(s["a"].alias("a"), s["z"].alias("z"), part(s).alias("bytes")))
     own = own.select("id", F.explode(F.filter(full, lambda s: F.length(s["bytes"]) >= MIN_CHARS)).alias("c"))
-    return own.select("id", "c.a", "c.z", "c.hash", *(["c.bytes"] if texts else []))
+    return own.select("id", "c.a", "c.z", F.xxhash64("c.bytes").alias("hash"), *(["c.bytes"] if texts else []))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, a, z, hash)`` of each chunk that an earlier one equals, byte for byte."""
-    narrow = chunked(docs, id_col, text_col, False)
+    narrow = cut(chunked(docs, id_col, text_col, False))
     again = cut(narrow.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
     met = chunked(docs, id_col, text_col, True).join(again, "hash")
     first = met.groupBy("hash").agg(F.min(F.struct("id", "a")).alias("first"), F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).where("lo = hi").select("hash", "first")
