@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recall_spark.llm import bpe, chat, decontam, langid, linededup, pii, quality, sharding, simhash, urls
+from recall_spark.llm import bpe, chat, decontam, langid, linededup, oracles, pii, quality, sharding, simhash, urls
 from recall_spark.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -88,4 +88,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_chat, op4_langid, op5_bpe, op6_urls, op7_decontam, op8_sharding, op9_line_dedup, op10_pii)}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op2_quality": oracles.QUALITY, "op3_chat": oracles.CHAT, "op6_urls": oracles.URLS}
