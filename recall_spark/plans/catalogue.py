@@ -431,6 +431,25 @@ def edge_weight_lookup(spark, sf):
     return spread.edge_weight(edges(spark, sf), pairs)
 
 
+@query(
+    f"""WITH {NODES}, t AS (SELECT *, {_TOKENS.format('content')} AS tk FROM nodes), s AS (SELECT *, {lexical_sql('the that word with')} AS lex FROM t),
+ seeds AS (SELECT index_id, neuron_id, lex * {_DYN} AS score FROM s WHERE lex > 0),
+ e AS (SELECT a.index_id, a.neuron_id AS x, b.neuron_id AS y FROM (SELECT index_id, neuron_id, split_part(neuron_id, ':', 2)::INT AS n FROM nodes) a JOIN (SELECT index_id, neuron_id, split_part(neuron_id, ':', 2)::INT AS n FROM nodes) b ON a.index_id = b.index_id AND b.n = a.n + 1),
+ adj AS (SELECT index_id, x AS a, y AS b, x || '>' || y AS id FROM e UNION ALL SELECT index_id, y, x, x || '>' || y FROM e),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY index_id ORDER BY score DESC, neuron_id) AS rank FROM seeds),
+ hop AS (SELECT r.index_id, b AS neuron_id, r.score * 0.5::DOUBLE * (1.0::DOUBLE / 2) AS score, row_number() OVER (PARTITION BY r.index_id, b ORDER BY r.rank, id) AS n FROM rk r JOIN adj ON adj.index_id = r.index_id AND adj.a = r.neuron_id WHERE r.score * 0.5::DOUBLE * (1.0::DOUBLE / 2) > 0.1 AND (r.index_id, b) NOT IN (SELECT (index_id, neuron_id) FROM seeds))
+ SELECT index_id, neuron_id, round(score, 6) AS score FROM (SELECT index_id, neuron_id, score FROM seeds UNION ALL SELECT index_id, neuron_id, score FROM hop WHERE n = 1)"""
+)
+def search_with_spread(spark, sf):
+    own = nodes(spark, sf)
+    turn = F.split("neuron_id", ":")[1].cast("int")
+    here = own.select("index_id", F.col("neuron_id").alias("from_id"), turn.alias("n"))
+    nxt = own.select("index_id", F.col("neuron_id").alias("to_id"), (turn - 1).alias("n"))
+    links = here.join(nxt, ["index_id", "n"]).select("index_id", F.concat_ws(">", "from_id", "to_id").alias("synapse_id"), "from_id", "to_id", F.lit(0.5).alias("weight"), at().alias("created_at"))
+    seeds = scoring.scored(own, "the that word with", at()).select("index_id", "neuron_id", "score")
+    return spread.spread(seeds, links, own, 1).select("index_id", "neuron_id", r6("score").alias("score"))
+
+
 # -- Learning.
 def _pairs_sql(seconds: int) -> str:
     return f"""{FIRES}, met AS (SELECT DISTINCT x.index_id, x.neuron_id AS a, y.neuron_id AS b, x.ts, x.seq FROM fires x JOIN fires y ON x.neuron_id <> y.neuron_id
@@ -509,6 +528,50 @@ def neighbour_centroid(spark, sf):
     return spatial.neighbour_centroids(own, edges(spark, sf)).select("neuron_id", r6(F.col("centroid")[0]).alias("cx"), r6(F.col("centroid")[1]).alias("cy"))
 
 
+@query(f"WITH {EDGES} SELECT synapse_id, round(least(1.0, weight + 0.2), 6) AS stronger, round(greatest(0.0, weight - 0.5), 6) AS weaker FROM edges")
+def edge_strengthen_weaken(spark, sf):
+    w = F.col("weight")
+    return edges(spark, sf).select("synapse_id", r6(dynamics.strengthen(w, 0.2)).alias("stronger"), r6(dynamics.weaken(w, 0.5)).alias("weaker"))
+
+
+@query(f"WITH {NODES} SELECT neuron_id, round(least(1.0, energy + 0.25), 6) AS boosted, round(least(1.0, energy + 0.6), 6) AS fired_twice FROM nodes")
+def reactivate(spark, sf):
+    e = F.col("energy")
+    return nodes(spark, sf).select("neuron_id", r6(dynamics.reactivate(e, 0.25)).alias("boosted"), r6(dynamics.fire(e, 2)).alias("fired_twice"))
+
+
+@query(f"WITH {NODES} SELECT neuron_id, CASE WHEN role = 'user' THEN 'set' ELSE content END AS content, round(CASE WHEN role = 'user' THEN greatest(0.0, least(1.0, energy - 0.4)) ELSE energy END, 6) AS energy, CASE WHEN role = 'user' THEN role || ',new' ELSE role END AS tags, CASE WHEN role = 'user' THEN 't1' ELSE thread_id END AS thread_id, role FROM nodes")
+def update_operators(spark, sf):
+    spec = {"$set": {"content": "set", "metadata": {"thread_id": "t1"}}, "$inc": {"energy": -0.4}, "$push": {"tags": "new"}}
+    out = dynamics.update(nodes(spark, sf), filters.compile_filter({"role": "user"}), spec)
+    return out.select("neuron_id", "content", r6("energy").alias("energy"), F.array_join("tags", ",").alias("tags"), F.col("metadata")["thread_id"].alias("thread_id"), F.col("metadata")["role"].alias("role"))
+
+
+@query(f"WITH {EDGES} SELECT synapse_id FROM edges WHERE from_id::BIGINT % 10 <> 3 AND to_id::BIGINT % 10 <> 3")
+def delete_cascade(spark, sf):
+    own = docs(spark, sf).select(F.lit("all").alias("index_id"), "neuron_id")
+    ends = edges(spark, sf).select(F.explode(F.array("from_id", "to_id")).alias("neuron_id")).distinct()
+    gone = ends.where(F.col("neuron_id").cast("long") % 10 == 3).withColumn("index_id", F.lit("all"))
+    return dynamics.delete_nodes(own, edges(spark, sf), gone)[1].select("synapse_id")
+
+
+@query(f"WITH {EDGES} SELECT synapse_id FROM edges WHERE weight - 0.5::DOUBLE < 0.01 AND TIMESTAMP '2024-03-03 00:00:00' - last_co_fire > INTERVAL 30 DAY")
+def archivable_edges(spark, sf):
+    late = F.lit("2024-03-03 00:00:00").cast("timestamp_ntz")
+    return edges(spark, sf).withColumn("weight", F.col("weight") - 0.5).where(filters.archivable(late)).select("synapse_id")
+
+
+@query("WITH old AS (SELECT n_nationkey::VARCHAR AS uuid, n_name AS name FROM nation), new AS (SELECT r_regionkey::VARCHAR AS uuid, r_name AS name FROM region UNION ALL SELECT 'x' || r_regionkey, r_name FROM region) SELECT coalesce(o.uuid, n.uuid) AS uuid, coalesce(n.name, o.name) AS name FROM old o FULL JOIN new n ON o.uuid = n.uuid")
+def registry_upsert(spark, sf):
+    from recall_spark.sources.registry import Registry
+
+    times = ["timestamp_ntz'2024-01-01' as created_at", "timestamp_ntz'2024-01-02' as updated_at"]
+    old = table(spark, sf, "nation").selectExpr("cast(n_nationkey as string) as uuid", "map('name', n_name) as metadata", *times)
+    region = table(spark, sf, "region")
+    new = region.selectExpr("cast(r_regionkey as string) as uuid", "map('name', r_name) as metadata", *times).unionByName(region.selectExpr("concat('x', r_regionkey) as uuid", "map('name', r_name) as metadata", *times))
+    return Registry(old).upserted(new).entries.select("uuid", F.col("metadata")["name"].alias("name"))
+
+
 # -- Lifecycle.
 _LAST = f"{ACTIVITY}, last AS (SELECT index_id, max(ts) AS last_activity, count(*)::BIGINT AS invoke_count, (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(max(ts))) / 1e6 AS el FROM activity GROUP BY 1), st AS (SELECT *, CASE WHEN el > 1800 THEN 'dormant' WHEN el > 300 THEN 'sleeping' WHEN el > 30 THEN 'idle' ELSE 'active' END AS state FROM last)"
 _NOW = "2024-01-31 00:00:00"
