@@ -2,12 +2,13 @@
 
 A line ends at a newline; lines are also broken after a sentence or clause, so that
 a passage is found again when a page wraps it differently. A rolling hash over each line's hash and
-the one before it chooses chunk boundaries, so they depend on two lines only and shift with the
-text. Chunks of at least ``MIN_LINES`` lines and ``MIN_CHARS`` characters are counted by hash over
+the one before it chooses chunk boundaries where it is a local minimum, so a boundary depends on four
+lines only and shifts with the text, and no chunk but a short text's has fewer than two lines. Chunks
+of at least ``MIN_LINES`` lines and ``MIN_CHARS`` characters are counted by hash over
 all documents; chunks whose hash occurs again are compared byte for byte, and all but the first
 (least id, then place) of equal chunks are cut out. White space and marks after a line's end don't count.
 
-Chunks without their texts are kept for the counts and for the last join. Texts of chunks move only to meet the hashes that repeat,
+Only hashes are shuffled for the counts. Texts of chunks move only to meet the hashes that repeat,
 and a hash whose texts aren't all equal is left alone.
 """
 
@@ -21,9 +22,10 @@ from recall_spark.llm.common import cut, whole_row
 #: A line: anything up to a newline or a mark that ends a sentence or clause (group 1), and the white
 #: space and further marks after it. Possessive, so matching is linear and takes every character.
 LINE = r"([^\n.!?,;:|]*+[.!?,;:|]*+)[\n.!?,;:| ]*+"
-DIVISOR = 2
 MIN_LINES = 2
-MIN_CHARS = 40
+MIN_CHARS = 24
+#: Lines beside an equal chunk that may go with it. Chunks have three lines on average.
+REACH = 4
 
 
 def lines(text: Column, group: int = 0) -> Column:
@@ -34,28 +36,54 @@ def lines(text: Column, group: int = 0) -> Column:
 def chunked(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataFrame:
     """``(id, a, z, hash)`` of each chunk that is long enough: lines ``a`` to before ``z``; with its
     ``bytes`` if ``texts``. Everything about a document is done inside its row."""
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), lines(F.col(f"`{text_col}`"), 1).alias("lines"))
+    whole = lines(F.col(f"`{text_col}`"), 1)
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), whole.alias("lines"))
+    own = own.select("id", F.slice("lines", 1, F.size("lines") - 1).alias("lines")).where(F.size("lines") >= MIN_LINES)
     own = own.select("id", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
     n = F.size("h")
-    rolled = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), F.slice("h", 1, n - 1)), F.col("h"), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(DIVISOR)) == 0)
-    starts = F.filter(F.transform(rolled, lambda f, i: F.when(f | (i == 0), i)), lambda i: i.isNotNull())
+    least = F.lit(-(1 << 63)).cast("long")
+    # A line's rolling hash with the one before; the first two and the last start no chunk.
+    rolled = F.zip_with(F.slice("h", 2, n - 1), F.slice("h", 1, n - 1), lambda h, before: F.xxhash64(before, h))
+    own = own.select("id", "lines", "h", rolled.alias("r"))
+    m = F.size("r")
+    around = F.zip_with(F.concat(F.array(least), F.slice("r", 1, m - 1)), F.concat(F.slice("r", 2, m - 1), F.array(least)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    low = F.zip_with(F.col("r"), around, lambda r, x: (r < x["a"]) & (r <= x["b"]))
+    starts = F.concat(F.array(F.lit(0)), F.filter(F.transform(low, lambda f, i: F.when(f, i + 1)), lambda i: i.isNotNull()))
     own = own.select("id", "lines", "h", starts.alias("starts"))
     spans = F.zip_with(F.col("starts"), F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("h"))), lambda a, z: F.struct(a.alias("a"), z.alias("z")))
     spans = F.filter(spans, lambda s: s["z"] - s["a"] >= MIN_LINES)
     part = lambda s: F.array_join(F.slice("lines", s["a"] + 1, s["z"] - s["a"]), "\n")
     full = F.transform(spans, lambda s: F.struct(s["a"].alias("a"), s["z"].alias("z"), part(s).alias("bytes")))
-    own = own.select("id", F.explode(F.filter(full, lambda s: F.length(s["bytes"]) >= MIN_CHARS)).alias("c"))
-    return own.select("id", "c.a", "c.z", F.xxhash64("c.bytes").alias("hash"), *(["c.bytes"] if texts else []))
+    own = own.select("id", "h", F.explode(F.filter(full, lambda s: F.length(s["bytes"]) >= MIN_CHARS)).alias("c"))
+    own = own.select("id", "h", "c.a", "c.z", "c.bytes", F.xxhash64("c.bytes").alias("hash"))
+    if not texts:
+        return own.select("id", "a", "z", "hash")
+    beside = lambda at, way: F.array(*[F.get("h", at + way * i) for i in range(REACH)])
+    return own.select("id", "a", "z", "hash", "bytes", beside(F.col("a") - 1, -1).alias("before"), beside(F.col("z"), 1).alias("after"))
+
+
+def _shared(x: str, y: str) -> Column:
+    """How many leading entries of two arrays of ``REACH`` are equal and not null."""
+    same = [F.coalesce(F.get(x, F.lit(i)) == F.get(y, F.lit(i)), F.lit(False)) for i in range(REACH)]
+    out = F.lit(0)
+    for i in reversed(range(REACH)):
+        out = F.when(same[i], 1 + out).otherwise(0)
+    return out
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, a, z, hash)`` of each chunk that an earlier one equals, byte for byte."""
-    narrow = cut(chunked(docs, id_col, text_col, False))
-    again = cut(narrow.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
-    met = chunked(docs, id_col, text_col, True).join(again, "hash")
-    first = met.groupBy("hash").agg(F.min(F.struct("id", "a")).alias("first"), F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).where("lo = hi").select("hash", "first")
-    first = cut(first)
-    return narrow.join(first, "hash").where(~F.struct("id", "a").eqNullSafe(F.col("first"))).select("id", "a", "z", "hash")
+    """``(id, a, z, hash)``: lines ``a`` to before ``z`` of each place that repeats an earlier one.
+
+    Each holds a chunk that an earlier chunk equals, byte for byte, and up to ``REACH`` lines on either
+    side whose hashes equal those beside the first such chunk. What goes always has an equal at a
+    smaller id or place, so one copy of everything stays.
+    """
+    again = chunked(docs, id_col, text_col, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    met = cut(chunked(docs, id_col, text_col, True).join(again, "hash"))
+    first = met.groupBy("hash").agg(F.min(F.struct("id", "a", F.col("before").alias("b"), F.col("after").alias("f"))).alias("first"), F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).where("lo = hi")
+    first = first.select("hash", F.struct("first.id", "first.a").alias("first"), F.col("first.b").alias("b"), F.col("first.f").alias("f"))
+    later = met.drop("bytes").join(first, "hash").where(~F.struct("id", "a").eqNullSafe(F.col("first")))
+    return later.select("id", (F.col("a") - _shared("before", "b")).alias("a"), (F.col("z") + _shared("after", "f")).alias("z"), "hash")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,7 +102,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = F.flatten(F.transform("gone", lambda s: F.sequence(s["a"], s["z"] - 1)))
     kept = split.select("row", "text", "lines", out.alias("out"), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), out).alias("kept"))
     rest = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "")
-    return kept.select("row", F.when(F.col("out").isNull(), F.col("text")).otherwise(rest).alias("text"), F.size("lines").alias("n_lines"), F.coalesce(F.size("out"), F.lit(0)).alias("n_removed"))
+    return kept.select("row", F.when(F.col("out").isNull(), F.col("text")).otherwise(rest).alias("text"), F.size("lines").alias("n_lines"), F.when(F.col("out").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).alias("n_removed"))
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
