@@ -5,8 +5,8 @@ the longest phrases that occur in a language's labelled text (cross-parsing, Ziv
 the number of phrases, weighted by the bits that name a place in the model, estimates the cross
 entropy. The language with the fewest weighted phrases wins.
 
-The model is fitted on a bounded sample: ``rows_per_lang`` labelled rows of each language, from
-which ``chars_per_lang`` code points are taken in all. Everything else covers all rows and whole
+The model is fitted on a bounded sample: about ``rows_per_lang`` labelled rows of each language, from
+which ``chars_per_lang`` code points are taken together. Everything else covers all rows and whole
 texts. For speed a text is parsed in stretches of ``STRETCH`` code points, many stretches side by
 side; each stretch starts a phrase, so a text of n code points gains at most n / STRETCH phrases.
 """
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+
 STRETCH = 256
 LETTER = r"\p{L}"
 #: Columns of a transition table: the sample's most frequent characters, then any other, then padding.
@@ -148,30 +149,37 @@ class Model:
         return langs, scores
 
 
-def sample(labelled: DataFrame, rows_per_lang: int = 200, chars_per_lang: int = 30_000, salt: int = 32) -> dict[str, str]:
-    """Text of each language of ``labelled(id, text, lang)``: the rows least by hash, in two rounds,
-    so that a language with most of the rows is spread over ``salt`` tasks first. What reaches the
-    driver is at most ``chars_per_lang`` code points a language."""
+def sample(labelled: DataFrame, rows_per_lang: int = 200, chars_per_lang: int = 30_000, chars_in_all: int = 240_000, max_langs: int = 200, salt: int = 32) -> dict[str, str]:
+    """Text of each language of ``labelled(id, text, lang)``, to fit the automata on.
+
+    The languages are the ``max_langs`` with most labelled rows that have a letter. Of each, the rows
+    least by hash in ``salt`` classes of ids are taken, so that a language with most of the rows is
+    spread over many tasks. What reaches the driver, and a worker's tables, are bounded: at most
+    ``chars_per_lang`` code points a language and ``chars_in_all`` together.
+    """
     each = max(1, chars_per_lang // rows_per_lang)
+    quota = -(-rows_per_lang // salt)
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
+    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    if not sizes:
+        return {}
     part = Window.partitionBy("lang", "salt").orderBy("h", "id")
-    whole = Window.partitionBy("lang").orderBy("h", "id")
     h = F.xxhash64(F.col("id").cast("string"))
     rows = (
-        labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
+        usable.where(F.col("lang").isin(list(sizes)))
         .select("id", "lang", h.alias("h"), F.pmod(F.xxhash64(h), F.lit(salt)).alias("salt"), F.substring("text", 1, 4 * each).alias("piece"))
         .withColumn("n", F.row_number().over(part))
-        .where(F.col("n") <= rows_per_lang)
-        .withColumn("n", F.row_number().over(whole))
-        .where(F.col("n") <= rows_per_lang)
-        .select("lang", "n", "piece")
+        .where(F.col("n") <= quota)
+        .select("lang", "n", "h", "piece")
     )
     found: dict[str, list[str]] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r.lang, r.n)):
+    for r in sorted(rows.collect(), key=lambda r: (r.lang, r.n, r.h, r.piece)):
         found.setdefault(r.lang, []).append(r.piece)
+    most = max(1, min(chars_per_lang, chars_in_all // len(found)))
     out = {}
     for lang, pieces in found.items():
-        take = max(each, chars_per_lang // len(pieces))
-        out[lang] = "\n".join(p[:take] for p in pieces)[:chars_per_lang]
+        take = max(each, most // len(pieces))
+        out[lang] = "\n".join(p[:take] for p in pieces)[:most]
     return out
 
 
