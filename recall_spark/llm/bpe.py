@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBERED = 1 << 19
+from recall_spark.llm.common import small_batches
+
+REMEMBERED = 1 << 18
 _NONE = 1 << 62
-_BATCH = 1 << 20
+_BATCH = 1 << 18
+#: Rows of an Arrow batch that are Python objects at one time.
+_ROWS = 256
 _RARE = re.compile(r"[^\S \n]")
 
 
@@ -99,15 +104,16 @@ class Codec:
         self.blob = np.frombuffer(b"".join(k for k, _ in sorted(self.ranks.items(), key=lambda x: x[1])), np.uint8)
         self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
         get = self.ranks.get
-        joins = []
+        keys, ids = array("q"), array("q")
         for part, i in self.ranks.items():
             for at in range(1, len(part)):
                 left, right = get(part[:at]), get(part[at:])
                 if left is not None and right is not None:
-                    joins.append((left << 32 | right, i))
-        joins.sort()
-        self.pairs = np.array([a for a, _ in joins] + [_NONE], np.int64)
-        self.joined = np.array([b for _, b in joins] + [0], np.int64)
+                    keys.append(left << 32 | right)
+                    ids.append(i)
+        order = np.argsort(np.array(keys, np.int64), kind="stable")
+        self.pairs = np.append(np.array(keys, np.int64)[order], _NONE)
+        self.joined = np.append(np.array(ids, np.int64)[order], 0)
 
     def _values(self, left: np.ndarray, right: np.ndarray, place: np.ndarray | int, shift: int) -> np.ndarray:
         """Leaf values, rank and place, of pairs of ids; no rank gives ``_NONE``."""
@@ -258,7 +264,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         own = codec(path, pattern)
         return pa.array(own.encode_many([x.as_py() or "" for x in text]), pa.binary())
 
-    return docs.select(F.col(f"`{id_col}`").alias("id"), run(F.col(f"`{text_col}`")).alias("ids"))
+    return small_batches(docs).select(F.col(f"`{id_col}`").alias("id"), run(F.col(f"`{text_col}`")).alias("ids"))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -269,7 +275,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         own = codec(path, pattern)
         return pa.array([own.decode(x.as_py() or b"") for x in ids], pa.binary())
 
-    return encoded.select("id", "ids", run("ids").alias("decoded"))
+    return small_batches(encoded).select("id", "ids", run("ids").alias("decoded"))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,8 +287,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     @F.arrow_udf("struct<ids:binary,decoded:binary>")
     def run(text: pa.Array) -> pa.Array:
-        own = codec(path, pattern)
-        ids = own.encode_many([x.as_py() or "" for x in text])
-        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())], names=["ids", "decoded"])
-
-    return docs.select(F.col(f"`{id_col}`").alias("id"), run(F.col(f"`{text_col}`")).alias("r")).select("id", "r.*")
+        own, parts = codec(path, pattern), []
+        for at in range(0, len(text), _ROWS):
+            ids = own.encode_many([x or "" for x in text.slice(at, _ROWS).to_pylist()])
+            decoded = [own.decode(x) for x in ids]
+            parts.append(pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["ids", "decoded"]))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("ids", pa.binary()), ("decoded", pa.binary())]))
+
+    return small_batches(docs).select(F.col(f"`{id_col}`").alias("id"), run(F.col(f"`{text_col}`")).alias("r")).select("id", "r.*")

@@ -33,6 +33,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Session settings that bound an Arrow batch of whole texts, and Spark's own values of them.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("1000", "10000")}
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, with the session's Arrow batches made small enough for whole texts: two tasks' batches
+    and what comes back stay off-heap at once. A setting that the user has changed is left alone."""
+    conf = docs.sparkSession.conf
+    for key, (own, usual) in _BATCHES.items():
+        if conf.get(key, usual) == usual:
+            conf.set(key, own)
+    return docs
+
+
 def whole_row(docs: DataFrame, name: str = "_row") -> Column:
     """All of the caller's columns as one struct, out of the way of an operator's own names."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recall_spark.llm.common import small_batches
+
 Q = 8
 EDIT_RATE = 0.1
 LEAKS = "array<struct<item:int,start:int,end:int,edits:int>>"
@@ -218,7 +220,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     are no rows. Items of equal text count as the one of least id. Other columns are not read.
     """
     kind = benchmark.schema[item_id_col].dataType
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    own = small_batches(docs).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     out = own.select("id", F.lit(None).cast(kind).alias("item_id"), *[F.lit(0).alias(c) for c in ("start", "end", "edits")]).limit(0)
     for ids, texts in blocks(benchmark, item_id_col, item_text_col, block_chars):
         got = own.select("id", F.explode(_searcher(texts)("text")).alias("x"))
@@ -230,5 +232,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_chars: int = 4_000_000) -> DataFrame:
     """The rows of ``docs`` whose text holds no item, unchanged, by one pass for each block of items."""
     for _, texts in blocks(benchmark, item_id_col, item_text_col, block_chars):
-        docs = docs.where(F.size(_searcher(texts)(F.col(f"`{text_col}`"))) == 0)
+        docs = small_batches(docs).where(F.size(_searcher(texts)(F.col(f"`{text_col}`"))) == 0)
     return docs

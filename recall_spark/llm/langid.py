@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recall_spark.llm.common import small_batches
 
 STRETCH = 256
 LETTER = r"\p{L}"
@@ -203,7 +204,7 @@ def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", t
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     text = F.col(f"`{text_col}`")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.when(text.rlike(LETTER), text).alias("t"))
+    rows = small_batches(docs).select(F.col(f"`{id_col}`").alias("id"), F.when(text.rlike(LETTER), text).alias("t"))
     if not samples:
         return rows.select("id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     found = rows.select("id", F.col("t").isNotNull().alias("some"), parse("t").alias("p"))

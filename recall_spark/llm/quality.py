@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recall_spark.llm.common import cut, whole_row
+from recall_spark.llm.common import cut, small_batches, whole_row
 
 STEPS = 32
 MIN_WORDS = 50
@@ -70,7 +70,7 @@ def _measure(text: pa.Array) -> pa.Array:
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` as ``_row``, with ``_m`` (METRICS), ``_lang`` and ``_source`` beside it."""
-    kept = docs.select(whole_row(docs), F.arrow_udf(_measure, METRICS)(F.col(f"`{text_col}`").cast("binary")).alias("_m"))
+    kept = small_batches(docs).select(whole_row(docs), F.arrow_udf(_measure, METRICS)(F.col(f"`{text_col}`").cast("binary")).alias("_m"))
     return kept.select("_row", "_m", F.col("_row.lang").alias("_lang"), F.col("_row.source").alias("_source"))
 
 
@@ -147,7 +147,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     Null texts count as empty and fail the base rules; null languages and sources form groups of
     their own; an empty table gives an empty result; other columns are not read.
     """
-    own = docs.select(F.struct(F.col(f"`{id_col}`").alias("id")).alias("_row"), F.arrow_udf(_measure, METRICS)(F.col(f"`{text_col}`").cast("binary")).alias("_m"), F.col("lang").alias("_lang"), F.col("source").alias("_source"))
+    own = small_batches(docs).select(F.struct(F.col(f"`{id_col}`").alias("id")).alias("_row"), F.arrow_udf(_measure, METRICS)(F.col(f"`{text_col}`").cast("binary")).alias("_m"), F.col("lang").alias("_lang"), F.col("source").alias("_source"))
     narrow = cut(own)
     return judged(narrow, thresholds(narrow, min_rows)).select("_row.id", "_m.*", "base_failed", "kept")
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recall_spark.llm.common import cut
+from recall_spark.llm.common import cut, small_batches
 from recall_spark.llm.graph import connected_components
 
 MAX_BITS = 2
@@ -56,7 +56,7 @@ def _fingerprints(text: pa.Array) -> pa.Array:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fingerprint)`` of every row; a null text has fingerprint 0."""
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("t")).select("id", F.arrow_udf(_fingerprints, "long")("t").alias("fingerprint"))
+    return small_batches(docs).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("t")).select("id", F.arrow_udf(_fingerprints, "long")("t").alias("fingerprint"))
 
 
 def _distance(a: str, b: str):
@@ -113,6 +113,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = 16) -> DataFrame:
     """The rows of ``docs`` that carry their component's least id, one row for each such id."""
-    kept = near_duplicates(docs, id_col, text_col, bucket).where("id <=> component").select(F.col("id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept"))).drop("_kept")
+    kept = near_duplicates(docs, id_col, text_col, bucket).where("id <=> component").select(F.col("id").alias("_near_dup_kept")).distinct()
+    rows = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_near_dup_kept"))).drop("_near_dup_kept")
     return rows.dropDuplicates([id_col])
