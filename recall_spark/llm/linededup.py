@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recall_spark.llm.common import cut, whole_row
+from recall_spark.llm.common import cut
 
 #: A line: anything up to a newline or a mark that ends a sentence or clause (group 1), and the white
 #: space and further marks after it. Possessive, so matching is linear and takes every character.
@@ -25,7 +25,7 @@ LINE = r"([^\n.!?,;:|]*+[.!?,;:|]*+)[\n.!?,;:| ]*+"
 MIN_LINES = 2
 MIN_CHARS = 24
 #: Lines beside an equal chunk that may go with it. Chunks have three lines on average.
-REACH = 4
+REACH = 2
 
 
 def lines(text: Column, group: int = 0) -> Column:
@@ -58,16 +58,16 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataFra
     own = own.select("id", "h", "c.a", "c.z", "c.bytes", F.xxhash64("c.bytes").alias("hash"))
     if not texts:
         return own.select("id", "a", "z", "hash")
-    beside = lambda at, way: F.array(*[F.get("h", at + way * i) for i in range(REACH)])
-    return own.select("id", "a", "z", "hash", "bytes", beside(F.col("a") - 1, -1).alias("before"), beside(F.col("z"), 1).alias("after"))
+    beside = [F.get("h", F.col("a") - 1 - i).alias(f"b{i}") for i in range(REACH)] + [F.get("h", F.col("z") + i).alias(f"f{i}") for i in range(REACH)]
+    return own.select("id", "a", "z", "hash", "bytes", *beside)
 
 
-def _shared(x: str, y: str) -> Column:
-    """How many leading entries of two arrays of ``REACH`` are equal and not null."""
-    same = [F.coalesce(F.get(x, F.lit(i)) == F.get(y, F.lit(i)), F.lit(False)) for i in range(REACH)]
+def _shared(side: str) -> Column:
+    """How many of the nearest ``REACH`` lines on a side (``b`` or ``f``) equal those of ``first``."""
     out = F.lit(0)
     for i in reversed(range(REACH)):
-        out = F.when(same[i], 1 + out).otherwise(0)
+        same = F.coalesce(F.col(f"{side}{i}") == F.col(f"first.{side}{i}"), F.lit(False))
+        out = F.when(same, 1 + out).otherwise(0)
     return out
 
 
@@ -80,10 +80,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     again = chunked(docs, id_col, text_col, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     met = cut(chunked(docs, id_col, text_col, True).join(again, "hash"))
-    first = met.groupBy("hash").agg(F.min(F.struct("id", "a", F.col("before").alias("b"), F.col("after").alias("f"))).alias("first"), F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).where("lo = hi")
-    first = first.select("hash", F.struct("first.id", "first.a").alias("first"), F.col("first.b").alias("b"), F.col("first.f").alias("f"))
-    later = met.drop("bytes").join(first, "hash").where(~F.struct("id", "a").eqNullSafe(F.col("first")))
-    return later.select("id", (F.col("a") - _shared("before", "b")).alias("a"), (F.col("z") + _shared("after", "f")).alias("z"), "hash")
+    sides = [f"{side}{i}" for side in "bf" for i in range(REACH)]
+    first = met.groupBy("hash").agg(F.min(F.struct("id", "a", *sides)).alias("first"), F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).where("lo = hi").select("hash", "first")
+    later = met.drop("bytes").join(first, "hash").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("a") == F.col("first.a"))))
+    return later.select("id", (F.col("a") - _shared("b")).alias("a"), (F.col("z") + _shared("f")).alias("z"), "hash")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,23 +94,34 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     document: repeated rows don't remove each other. Null ids come first and are one document too.
     An empty table gives an empty result.
     """
-    gone = repeats(docs, id_col, text_col).groupBy("id").agg(F.collect_set(F.struct("a", "z")).alias("gone"))
-    gone = gone.withColumnRenamed("id", "_id")
-    rows = docs.select(whole_row(docs, "row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    met = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")), "left").select("row", "text", "gone")
-    split = met.select("row", "text", "gone", lines(F.col("text")).alias("lines"))
+    # Kept, so that all that led to it can be cleaned up before the texts are shuffled.
+    gone = cut(repeats(docs, id_col, text_col).groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("a", "z")).alias("gone")))
+    # The caller's columns go along one by one; a struct's fields can be lost in a row of generators.
+    own = {f"_c{i}": c for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in own.items()], F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    met = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")), "left").select(*own, "text", "gone")
+    # Each step is a generator of one row: a plain projection could be inlined into the next one's
+    # lambdas, or into a filter of the caller's, and then be evaluated once for each line.
+    step = lambda value, name: F.explode(F.array(value)).alias(name)
+    split = met.select(*own, "text", "gone", step(lines(F.col("text")), "lines"))
     out = F.flatten(F.transform("gone", lambda s: F.sequence(s["a"], s["z"] - 1)))
-    kept = split.select("row", "text", "lines", out.alias("out"), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), out).alias("kept"))
+    kept = split.select(*own, "text", "gone", "lines", step(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), out), "kept"))
+    whole = F.col("gone").isNull()
     rest = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "")
-    return kept.select("row", F.when(F.col("out").isNull(), F.col("text")).otherwise(rest).alias("text"), F.size("lines").alias("n_lines"), F.when(F.col("out").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).alias("n_removed"))
+    text = F.when(whole, F.col("text")).otherwise(rest)
+    n_removed = F.when(whole, 0).otherwise(F.size("lines") - F.size("kept"))
+    done = kept.select(*own, F.inline(F.array(F.struct(text.alias("text"), F.size("lines").alias("n_lines"), n_removed.alias("n_removed")))))
+    return done.select(F.struct(*[F.col(k).alias(c) for k, c in own.items()]).alias("row"), "text", "n_lines", "n_removed")
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with texts freed of repeats; documents of which nothing is left are dropped.
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.2) -> DataFrame:
+    """``docs`` with texts freed of repeats. Documents of which less than the share ``least`` is left,
+    the remains of copies, are dropped; those that lose nothing stay, whatever their length.
 
     A column ``n_chars`` follows the text.
     """
-    done = deduplicated(docs, id_col, text_col).where((F.col("n_removed") == 0) | (F.trim("text", F.lit(" \n\r\t")) != ""))
+    rest = F.length(F.trim("text", F.lit(" \n\r\t"))) >= least * F.length(F.col(f"row.`{text_col}`"))
+    done = deduplicated(docs, id_col, text_col).where((F.col("n_removed") == 0) | (rest & (F.col("text") != "")))
     new = {text_col: F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
