@@ -52,6 +52,28 @@ def whole_row(docs: DataFrame, name: str = "_row") -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)
 
 
+def text_hash(text: Column) -> Column:
+    """Which text a row has; a null is the empty text."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def survivors(docs: DataFrame, node: Column, roots: DataFrame, id_col: str) -> DataFrame:
+    """One row of ``docs`` for each component of nodes: its least id's, then least node's.
+
+    ``node`` says which text a row has, ``roots(node, root)`` which component a node is in if not its
+    own. Rows are chosen by id and node, so other texts under an id, null or not, are left alone. Null
+    ids come last. Of rows with equal id and node the one least by hash stays.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), node.alias("_node"), whole_row(docs))
+    best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_node").alias("node")))
+    texts = rows.groupBy("_node").agg(best.alias("best"))
+    rooted = texts.join(roots.select(F.col("node").alias("_node"), "root"), "_node", "left")
+    chosen = rooted.groupBy(F.coalesce("root", "_node").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.id").alias("id"), "best.node")
+    met = rows.join(chosen, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_node") == F.col("node"))).select("_id", "_node", "_row")
+    one = met.groupBy("_id", "_node").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return one.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
 def sum_hash(df: DataFrame) -> tuple:
     """Row count and an order-free hash of all rows: equal before and after at a fixed point."""
     return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())

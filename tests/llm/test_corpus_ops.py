@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recall_spark.llm import decontam, graph, queries, sharding, simhash
+from recall_spark.llm import decontam, graph, neardup, queries, sharding, simhash
 from recall_spark.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -84,6 +84,35 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.deduplicated(df.limit(0)).count() == 0
 
 
+def test_near_duplicate_stage_finds_all_at_similarity(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8)))
+    line = [word() for _ in range(12)]
+    texts = []
+    for i in range(24):
+        base = [word() for _ in range(150)] + (line if i % 2 else [])
+        texts.append(base)
+        for edits in range(1, 7):
+            copy = list(base)
+            for at in r.sample(range(len(copy)), edits):
+                copy[at] = word()
+            texts.append(copy)
+    texts = [" ".join(t) for t in texts] + ["one two three", "One  two three", "one two four", None, ""]
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [grams(t) for t in texts]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = set(components(range(len(sets)), pairs).values())
+    assert len(pairs) > 50 and len(want) < 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = corpus_pipeline.near_dedup(spark, df, SF)
+    assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == want
+    assert neardup.deduplicated(df.limit(0)).count() == 0
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(5, 5), (2001, 2000), (2000, 2001)]
     got = {x.node: x.root for x in graph.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
