@@ -114,14 +114,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return done.select(F.struct(*[F.col(k).alias(c) for k, c in own.items()]).alias("row"), "text", "n_lines", "n_removed")
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.2) -> DataFrame:
-    """``docs`` with texts freed of repeats. Documents of which less than the share ``least`` is left,
-    the remains of copies, are dropped; those that lose nothing stay, whatever their length.
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with texts freed of repeats. Documents that lost lines and have no word left are dropped;
+    whatever is left of the others stays, for later stages to judge.
 
     A column ``n_chars`` follows the text.
     """
-    rest = F.length(F.trim("text", F.lit(" \n\r\t"))) >= least * F.length(F.col(f"row.`{text_col}`"))
-    done = deduplicated(docs, id_col, text_col).where((F.col("n_removed") == 0) | (rest & (F.col("text") != "")))
+    done = deduplicated(docs, id_col, text_col).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
     new = {text_col: F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)

@@ -271,6 +271,16 @@ def test_line_dedup_within_a_text_and_repeated_rows(spark):
     assert len(got) == 2 and got[0].text == got[1].text and body[:100] in got[0].text
 
 
+def test_line_dedup_keeps_what_is_left(spark):
+    r = random.Random(9)
+    line = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(8)) + ". "
+    shared = "".join(line() for _ in range(60))
+    own = "".join(line() for _ in range(4))
+    df = spark.createDataFrame([(1, shared), (2, shared + own), (3, shared)], "doc_id bigint, text string")
+    left = {x.doc_id: x.text for x in linededup.cleaned(df).collect()}
+    assert left[1] == shared and left[2].endswith(own) and len(left[2]) < 0.2 * len(shared + own)
+
+
 # -- Personal data.
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
