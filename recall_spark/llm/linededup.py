@@ -1,15 +1,13 @@
-"""Removal of passages that repeat anywhere in the corpus, by content-defined chunks of lines.
-
-A line ends at a newline; lines are also broken after a sentence or clause, so that
-a passage is found again when a page wraps it differently. A rolling hash over each line's hash and
-the one before it chooses chunk boundaries where it is a local minimum, so a boundary depends on four
-lines only and shifts with the text, and no chunk but a short text's has fewer than two lines. Chunks
-of at least ``MIN_LINES`` lines and ``MIN_CHARS`` characters are counted by hash over
-all documents; chunks whose hash occurs again are compared byte for byte, and all but the first
-(least id, then place) of equal chunks are cut out. White space and marks after a line's end don't count.
-
-Only hashes are shuffled for the counts. Texts of chunks move only to meet the hashes that repeat,
-and a hash whose texts aren't all equal is left alone.
+"""Removal of passages that repeat anywhere in the corpus, by every two lines in a row.
+
+A line ends at a newline; lines are also broken after a sentence or clause, so that a passage is found
+again when a page wraps it differently. Each two lines in a row of ``MIN_CHARS`` characters or more
+together are counted over all documents, and all but the first (least id, then text, then place) of
+equal pairs are cut out: so a repeated run of two lines or more goes to its last line, whichever copy
+has the same lines. White space and marks after a line's end don't count.
+
+Pairs are compared by 128 bits of hashes; no text is shuffled for it. The part of a passage that
+begins or ends inside a line, and a passage that is one line, are not found.
 """
 
 from __future__ import annotations
@@ -17,15 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recall_spark.llm.common import cut
+from recall_spark.llm.common import cut, text_hash
 
 #: A line: anything up to a newline or a mark that ends a sentence or clause (group 1), and the white
 #: space and further marks after it. Possessive, so matching is linear and takes every character.
 LINE = r"([^\n.!?,;:|]*+[.!?,;:|]*+)[\n.!?,;:| ]*+"
 MIN_LINES = 2
 MIN_CHARS = 24
-#: Lines beside an equal chunk that may go with it. Chunks have three lines on average.
-REACH = 2
 
 
 def lines(text: Column, group: int = 0) -> Column:
@@ -33,78 +29,53 @@ def lines(text: Column, group: int = 0) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LINE), F.lit(group))
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataFrame:
-    """``(id, a, z, hash)`` of each chunk that is long enough: lines ``a`` to before ``z``; with its
-    ``bytes`` if ``texts``. Everything about a document is done inside its row."""
-    whole = lines(F.col(f"`{text_col}`"), 1)
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), whole.alias("lines"))
-    own = own.select("id", F.slice("lines", 1, F.size("lines") - 1).alias("lines")).where(F.size("lines") >= MIN_LINES)
-    own = own.select("id", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
-    n = F.size("h")
-    least = F.lit(-(1 << 63)).cast("long")
-    # A line's rolling hash with the one before; the first two and the last start no chunk.
-    rolled = F.zip_with(F.slice("h", 2, n - 1), F.slice("h", 1, n - 1), lambda h, before: F.xxhash64(before, h))
-    own = own.select("id", "lines", "h", rolled.alias("r"))
-    m = F.size("r")
-    around = F.zip_with(F.concat(F.array(least), F.slice("r", 1, m - 1)), F.concat(F.slice("r", 2, m - 1), F.array(least)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    low = F.zip_with(F.col("r"), around, lambda r, x: (r < x["a"]) & (r <= x["b"]))
-    starts = F.concat(F.array(F.lit(0)), F.filter(F.transform(low, lambda f, i: F.when(f, i + 1)), lambda i: i.isNotNull()))
-    own = own.select("id", "lines", "h", starts.alias("starts"))
-    spans = F.zip_with(F.col("starts"), F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("h"))), lambda a, z: F.struct(a.alias("a"), z.alias("z")))
-    spans = F.filter(spans, lambda s: s["z"] - s["a"] >= MIN_LINES)
-    part = lambda s: F.array_join(F.slice("lines", s["a"] + 1, s["z"] - s["a"]), "\n")
-    full = F.transform(spans, lambda s: F.struct(s["a"].alias("a"), s["z"].alias("z"), part(s).alias("bytes")))
-    own = own.select("id", "h", F.explode(F.filter(full, lambda s: F.length(s["bytes"]) >= MIN_CHARS)).alias("c"))
-    own = own.select("id", "h", "c.a", "c.z", "c.bytes", F.xxhash64("c.bytes").alias("hash"))
-    if not texts:
-        return own.select("id", "a", "z", "hash")
-    beside = [F.get("h", F.col("a") - 1 - i).alias(f"b{i}") for i in range(REACH)] + [F.get("h", F.col("z") + i).alias(f"f{i}") for i in range(REACH)]
-    return own.select("id", "a", "z", "hash", "bytes", *beside)
-
-
-def _shared(side: str) -> Column:
-    """How many of the nearest ``REACH`` lines on a side (``b`` or ``f``) equal those of ``first``."""
-    out = F.lit(0)
-    for i in reversed(range(REACH)):
-        same = F.coalesce(F.col(f"{side}{i}") == F.col(f"first.{side}{i}"), F.lit(False))
-        out = F.when(same, 1 + out).otherwise(0)
-    return out
+def pairs(docs: DataFrame, id_col: str, text_col: str, places: bool) -> DataFrame:
+    """``(hash, check)`` of each two lines in a row that are long enough, 128 bits together; with the
+    ``id``, the text's ``mark`` and the number ``a`` of the first line if ``places``."""
+    text = F.col(f"`{text_col}`")
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), text_hash(text).alias("mark"), lines(text, 1).alias("lines"))
+    own = own.where(F.size("lines") > MIN_LINES)
+    # One generator of one row, so that the hashes are evaluated once.
+    each = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.length(x).alias("n")))
+    own = own.select("id", "mark", F.explode(F.array(each)).alias("l"))
+    n = F.size("l") - 2
+    both = F.zip_with(F.slice("l", 1, n), F.slice("l", 2, n), lambda x, y: F.struct(F.xxhash64(x["h"], y["h"]).alias("hash"), F.xxhash64(x["g"], y["g"]).alias("check"), (x["n"] + y["n"] + 1).alias("chars")))
+    own = own.select("id", "mark", F.posexplode(both).alias("a", "p")).where(F.col("p.chars") >= MIN_CHARS)
+    return own.select("p.hash", "p.check", "id", "mark", "a") if places else own.select("p.hash", "p.check")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, a, z, hash)``: lines ``a`` to before ``z`` of each place that repeats an earlier one.
+    """``(id, mark, a)``: lines ``a`` and the next are two lines in a row that an earlier place has.
 
-    Each holds a chunk that an earlier chunk equals, byte for byte, and up to ``REACH`` lines on either
-    side whose hashes equal those beside the first such chunk. What goes always has an equal at a
-    smaller id or place, so one copy of everything stays.
+    Places are ordered by id, text and number. A line that goes has an equal one at an earlier place,
+    so the first of equal lines always stays.
     """
-    again = chunked(docs, id_col, text_col, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    met = cut(chunked(docs, id_col, text_col, True).join(again, "hash"))
-    sides = [f"{side}{i}" for side in "bf" for i in range(REACH)]
-    first = met.groupBy("hash").agg(F.min(F.struct("id", "a", *sides)).alias("first"), F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).where("lo = hi").select("hash", "first")
-    later = met.drop("bytes").join(first, "hash").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("a") == F.col("first.a"))))
-    return later.select("id", (F.col("a") - _shared("b")).alias("a"), (F.col("z") + _shared("f")).alias("z"), "hash")
+    again = pairs(docs, id_col, text_col, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    met = cut(pairs(docs, id_col, text_col, True).join(again, "hash"))
+    first = met.groupBy("hash", "check").agg(F.min(F.struct("id", "mark", "a")).alias("first"))
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("a") == F.col("first.a"))
+    return met.join(first, ["hash", "check"]).where(~same).select("id", "mark", "a")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(row, text, n_lines, n_removed)``: every row of ``docs`` as a struct, its text without the
     repeats, and how many of its lines there were and went.
 
-    The rest of a text is unchanged, byte for byte. A null text stays null. Rows of one id are one
-    document: repeated rows don't remove each other. Null ids come first and are one document too.
+    The rest of a text is unchanged, byte for byte. A null text stays null. Rows of one id
+    and text are one document: they don't remove each other. Null ids come first.
     An empty table gives an empty result.
     """
     # Kept, so that all that led to it can be cleaned up before the texts are shuffled.
-    gone = cut(repeats(docs, id_col, text_col).groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("a", "z")).alias("gone")))
+    gone = cut(repeats(docs, id_col, text_col).groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set("a").alias("gone")))
     # The caller's columns go along one by one; a struct's fields can be lost in a row of generators.
     own = {f"_c{i}": c for i, c in enumerate(docs.columns)}
-    rows = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in own.items()], F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    met = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")), "left").select(*own, "text", "gone")
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in own.items()], F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), text_hash(F.col(f"`{text_col}`")).alias("mark"))
+    met = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select(*own, "text", "gone")
     # Each step is a generator of one row: a plain projection could be inlined into the next one's
     # lambdas, or into a filter of the caller's, and then be evaluated once for each line.
     step = lambda value, name: F.explode(F.array(value)).alias(name)
     split = met.select(*own, "text", "gone", step(lines(F.col("text")), "lines"))
-    out = F.flatten(F.transform("gone", lambda s: F.sequence(s["a"], s["z"] - 1)))
+    out = F.concat("gone", F.transform("gone", lambda a: a + 1))
     kept = split.select(*own, "text", "gone", "lines", step(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), out), "kept"))
     whole = F.col("gone").isNull()
     rest = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "")

@@ -281,6 +281,18 @@ def test_line_dedup_keeps_what_is_left(spark):
     assert left[1] == shared and left[2].endswith(own) and len(left[2]) < 0.2 * len(shared + own)
 
 
+def test_line_dedup_takes_runs_whole_from_any_copy(spark):
+    r = random.Random(13)
+    line = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(8)) + ". "
+    some = lambda n: "".join(line() for _ in range(n))
+    p, q, short = some(8), some(9), some(2)
+    own = [some(5) for _ in range(8)]
+    texts = [own[0] + p + own[1], own[2] + p + q + own[3], own[4] + p + q + own[5] + short, own[6] + short + own[7]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x.row.doc_id: x.text for x in linededup.deduplicated(df).collect()}
+    assert got == {0: texts[0], 1: own[2] + q + own[3], 2: own[4] + own[5] + short, 3: own[6] + own[7]}
+
+
 # -- Personal data.
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
