@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recall_spark.llm.common import cut, small_batches
+from recall_spark.llm.common import cut, small_batches, survivors
 from recall_spark.llm.graph import connected_components
 
 MAX_BITS = 2
@@ -112,7 +112,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = 16) -> DataFrame:
-    """The rows of ``docs`` that carry their component's least id, one row for each such id."""
-    kept = near_duplicates(docs, id_col, text_col, bucket).where("id <=> component").select(F.col("id").alias("_near_dup_kept")).distinct()
-    rows = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_near_dup_kept"))).drop("_near_dup_kept")
-    return rows.dropDuplicates([id_col])
+    """One row of ``docs`` for each component: its least id's, a null id only where there is no other."""
+    prints = cut(fingerprints(docs, id_col, text_col).select("fingerprint").distinct())
+    roots = connected_components(links(prints, bucket))
+    return survivors(docs, F.arrow_udf(_fingerprints, "long")(F.col(f"`{text_col}`").cast("binary")), roots, id_col)

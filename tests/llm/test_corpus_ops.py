@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recall_spark.llm import decontam, graph, neardup, queries, sharding, simhash
+from recall_spark.llm import decontam, graph, linededup, neardup, queries, sharding, simhash
 from recall_spark.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -113,6 +113,20 @@ def test_near_duplicate_stage_finds_all_at_similarity(spark):
     assert neardup.deduplicated(df.limit(0)).count() == 0
 
 
+def test_rows_without_own_ids_are_not_lost(spark):
+    r = random.Random(5)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) + "." for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (1, c), (7, c), (7, d), (7, e)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {(None, a), (None, b), (1, c), (7, d), (7, e)}
+    for stage in (simhash.deduplicated, neardup.deduplicated):
+        kept = [tuple(x) for x in stage(df).collect()]
+        assert len(kept) == len(want) and set(kept) == want
+    left = {tuple(x) for x in linededup.cleaned(df).collect()}
+    assert {(None, a), (None, b), (1, c), (7, d), (7, e)} <= left
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(5, 5), (2001, 2000), (2000, 2001)]
     got = {x.node: x.root for x in graph.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
