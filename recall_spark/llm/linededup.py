@@ -1,13 +1,21 @@
-"""Removal of passages that repeat anywhere in the corpus, by every two lines in a row.
+"""Removal of passages that repeat anywhere in the corpus, by content-defined chunks of lines.
 
-A line ends at a newline; lines are also broken after a sentence or clause, so that a passage is found
-again when a page wraps it differently. Each two lines in a row of ``MIN_CHARS`` characters or more
-together are counted over all documents, and all but the first (least id, then text, then place) of
-equal pairs are cut out: so a repeated run of two lines or more goes to its last line, whichever copy
-has the same lines. White space and marks after a line's end don't count.
+Lines. A line ends at a newline. So that a passage is found wherever it begins and however it was
+wrapped, lines are also wrapped after each word of ``LONG`` characters or more: the wrap depends on
+that word alone, so inside a shared passage all copies have the same lines.
 
-Pairs are compared by 128 bits of hashes; no text is shuffled for it. The part of a passage that
-begins or ends inside a line, and a passage that is one line, are not found.
+Chunks. A rolling hash over every two line hashes in a row is taken; a chunk ends where it has a local
+minimum, so a boundary depends on four lines only and an insertion moves none but its neighbours. A
+chunk has two lines or more, three on average.
+
+Repeats. Chunks are counted by hash over all documents. Only those that may repeat travel with their
+lines, and are grouped by the lines themselves, byte for byte; all but the first (least id, then text,
+then place) go. A passage that begins or ends inside a chunk is followed line by line into the chunks
+beside it, as far as its lines are those of the first copy. What goes is a run of lines of
+``MIN_CHARS`` characters or more; shorter runs are phrases of the language and stay.
+
+Which chunks may repeat is told by one bit of their hash in a bitmap of fixed size, so a chunk that
+doesn't repeat rarely travels. The bitmap changes what is shuffled, never what is found.
 """
 
 from __future__ import annotations
@@ -17,47 +25,108 @@ from pyspark.sql import functions as F
 
 from recall_spark.llm.common import cut, text_hash
 
-#: A line: anything up to a newline or a mark that ends a sentence or clause (group 1), and the white
-#: space and further marks after it. Possessive, so matching is linear and takes every character.
-LINE = r"([^\n.!?,;:|]*+[.!?,;:|]*+)[\n.!?,;:| ]*+"
-MIN_LINES = 2
-MIN_CHARS = 24
+#: Characters of a word that ends a line. Chinese and Japanese marks end a word as white space does.
+LONG = 7
+_MARKS = r"、。！，：；？"
+#: Short words, then any word or none (group 1), and the white space after it. Possessive, so matching
+#: is linear and takes every character.
+LINE = rf"((?:[^\s{_MARKS}]{{1,{LONG - 1}}}+[ \t\x0B\f\r{_MARKS}]++(?=\S))*+[^\s{_MARKS}]*+[{_MARKS}]*+)\s*+"
+MIN_CHARS = 120
+#: 64-bit words of the bitmap: 2 MB.
+SLOTS = 1 << 18
 
 
 def lines(text: Column, group: int = 0) -> Column:
-    """All of ``text`` in order, cut into lines, with their ends or (group 1) without. The last is empty."""
+    """All of ``text`` in order, cut into lines, with the white space after them or (group 1) without.
+    The last is empty."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LINE), F.lit(group))
 
 
-def pairs(docs: DataFrame, id_col: str, text_col: str, places: bool) -> DataFrame:
-    """``(hash, check)`` of each two lines in a row that are long enough, 128 bits together; with the
-    ``id``, the text's ``mark`` and the number ``a`` of the first line if ``places``."""
+def _step(value: Column, name: str) -> Column:
+    """``value`` as a generator of one row: a plain projection could be inlined into the next one's
+    lambdas, or into a filter of the caller's, and then be evaluated once for each line."""
+    return F.explode(F.array(value)).alias(name)
+
+
+def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, mark, lines, chunks)`` of texts with two lines or more; ``chunks`` is
+    ``array<struct<a,n,hash>>``: number of the first line, number of lines and their hash."""
     text = F.col(f"`{text_col}`")
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), text_hash(text).alias("mark"), lines(text, 1).alias("lines"))
-    own = own.where(F.size("lines") > MIN_LINES)
-    # One generator of one row, so that the hashes are evaluated once.
-    each = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.length(x).alias("n")))
-    own = own.select("id", "mark", F.explode(F.array(each)).alias("l"))
-    n = F.size("l") - 2
-    both = F.zip_with(F.slice("l", 1, n), F.slice("l", 2, n), lambda x, y: F.struct(F.xxhash64(x["h"], y["h"]).alias("hash"), F.xxhash64(x["g"], y["g"]).alias("check"), (x["n"] + y["n"] + 1).alias("chars")))
-    own = own.select("id", "mark", F.posexplode(both).alias("a", "p")).where(F.col("p.chars") >= MIN_CHARS)
-    return own.select("p.hash", "p.check", "id", "mark", "a") if places else own.select("p.hash", "p.check")
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), text_hash(text).alias("mark"), _step(lines(text, 1), "all"))
+    own = own.where(F.size("all") > 2).select("id", "mark", _step(F.slice("all", 1, F.size("all") - 1), "lines"))
+    own = own.select("id", "mark", "lines", _step(F.transform("lines", lambda x: F.xxhash64(x)), "h"))
+    n = F.size("h")
+    rolling = F.zip_with(F.slice("h", 1, n - 1), F.slice("h", 2, n - 1), lambda x, y: F.xxhash64(x, y))
+    own = own.select("id", "mark", "lines", "h", _step(rolling, "r"))
+    inner = F.when(n > 3, F.sequence(F.lit(1), n - 3)).otherwise(F.array().cast("array<int>"))
+    least = F.filter(inner, lambda i: (F.get("r", i) < F.get("r", i - 1)) & (F.get("r", i) <= F.get("r", i + 1)))
+    own = own.select("id", "mark", "lines", "h", _step(F.transform(least, lambda i: i + 1), "cuts"))
+    both = F.zip_with(F.concat(F.array(F.lit(0)), "cuts"), F.concat("cuts", F.array(n)), lambda a, z: F.struct(a.alias("a"), (z - a).alias("n"), F.xxhash64(F.slice("h", a + 1, z - a)).alias("hash")))
+    return own.select("id", "mark", "lines", _step(both, "chunks"))
+
+
+def _slot(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+
+
+def _bit(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(63)).cast("int")
+
+
+def bitmap(hashes: DataFrame) -> Column:
+    """``array<bigint>`` of ``SLOTS`` words with the bits of all of ``hashes(hash)``, as a scalar subquery.
+
+    The bits are combined before the shuffle; one task puts at most ``SLOTS`` words in order.
+    """
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("hash")))
+    words = hashes.groupBy(_slot(F.col("hash")).alias("slot")).agg(F.bit_or(one).alias("word"))
+    none = hashes.sparkSession.range(0, SLOTS, 1, 1).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("word"))
+    every = words.unionByName(none).groupBy("slot").agg(F.bit_or("word").alias("word"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "word"))), lambda x: x["word"]).alias("words")).scalar()
+
+
+def _equal_lines(x: Column, y: Column) -> Column:
+    """How many leading lines of two arrays are equal."""
+    n = F.least(F.size(x), F.size(y))
+    differ = F.array_position(F.zip_with(F.slice(x, 1, n), F.slice(y, 1, n), lambda a, b: a == b), False)
+    return F.when(differ > 0, differ - 1).otherwise(n).cast("int")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, mark, a)``: lines ``a`` and the next are two lines in a row that an earlier place has.
+    """``(id, mark, a, z)``: lines ``a`` to before ``z`` are lines in a row that an earlier place has.
 
-    Places are ordered by id, text and number. A line that goes has an equal one at an earlier place,
-    so the first of equal lines always stays.
+    Places are ordered by id, text and number. A chunk that goes has an equal one at an earlier place,
+    so the first of equal chunks always stays.
     """
-    again = pairs(docs, id_col, text_col, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    met = cut(pairs(docs, id_col, text_col, True).join(again, "hash"))
-    first = met.groupBy("hash", "check").agg(F.min(F.struct("id", "mark", "a")).alias("first"))
+    found = chunks(docs, id_col, text_col)
+    hashes = found.select(F.explode(F.filter("chunks", lambda c: c["n"] > 1)).alias("c")).select(F.col("c.hash").alias("hash"))
+    again = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    words = bitmap(again)
+    part = lambda c: F.slice("lines", c["a"] + 1, c["n"])
+    none = F.array().cast("array<string>")
+    wide = F.transform(
+        "chunks",
+        lambda c, j: F.struct(
+            c["hash"].alias("hash"),
+            c["a"].alias("a"),
+            part(c).alias("own"),
+            F.when(j > 0, F.reverse(part(F.get("chunks", j - 1)))).otherwise(none).alias("before"),
+            F.when(j < F.size("chunks") - 1, part(F.get("chunks", j + 1))).otherwise(none).alias("after"),
+        ),
+    )
+    each = found.select("id", "mark", F.explode(wide).alias("x")).where(F.size("x.own") > 1).select("id", "mark", "x.*")
+    met = cut(each.where(F.call_function("getbit", F.get(words, _slot(F.col("hash"))), _bit(F.col("hash"))) == 1))
+    first = met.groupBy("hash", "own").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "mark", "a", "before", "after")).alias("first"))
+    # Kept, so that both sides of the join come straight from a shuffle and a hot chunk can be split.
+    first = cut(first.where("n > 1").drop("n"))
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("a") == F.col("first.a"))
-    return met.join(first, ["hash", "check"]).where(~same).select("id", "mark", "a")
+    later = met.join(first, ["hash", "own"]).where(~same)
+    a = F.col("a") - _equal_lines(F.col("before"), F.col("first.before"))
+    z = F.col("a") + F.size("own") + _equal_lines(F.col("after"), F.col("first.after"))
+    return later.select("id", "mark", a.alias("a"), z.alias("z"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``(row, text, n_lines, n_removed)``: every row of ``docs`` as a struct, its text without the
     repeats, and how many of its lines there were and went.
 
@@ -66,32 +135,35 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     An empty table gives an empty result.
     """
     # Kept, so that all that led to it can be cleaned up before the texts are shuffled.
-    gone = cut(repeats(docs, id_col, text_col).groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set("a").alias("gone")))
+    gone = cut(repeats(docs, id_col, text_col).groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set(F.struct("a", "z")).alias("gone")))
     # The caller's columns go along one by one; a struct's fields can be lost in a row of generators.
     own = {f"_c{i}": c for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in own.items()], F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), text_hash(F.col(f"`{text_col}`")).alias("mark"))
     met = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select(*own, "text", "gone")
-    # Each step is a generator of one row: a plain projection could be inlined into the next one's
-    # lambdas, or into a filter of the caller's, and then be evaluated once for each line.
-    step = lambda value, name: F.explode(F.array(value)).alias(name)
-    split = met.select(*own, "text", "gone", step(lines(F.col("text")), "lines"))
-    out = F.concat("gone", F.transform("gone", lambda a: a + 1))
-    kept = split.select(*own, "text", "gone", "lines", step(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), out), "kept"))
-    whole = F.col("gone").isNull()
+    split = met.select(*own, "text", "gone", _step(lines(F.col("text")), "lines"))
+    at = F.array_sort(F.array_distinct(F.flatten(F.transform("gone", lambda x: F.sequence(x["a"], x["z"] - 1)))))
+    split = split.select(*own, "text", "lines", _step(at, "at"))
+    starts = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) != x - 1))
+    ends = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) != x + 1))
+    size = lambda s, e: F.aggregate(F.slice("lines", s + 1, e - s + 1), F.lit(0), lambda n, x: n + F.length(x))
+    runs = F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"), size(s, e).alias("chars"))), lambda r: r["chars"] >= min_chars)
+    split = split.select(*own, "text", "lines", _step(F.flatten(F.transform(runs, lambda r: F.sequence(r["s"], r["e"]))), "out"))
+    kept = split.select(*own, "text", "lines", "out", _step(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "out"), "kept"))
+    whole = F.col("out").isNull() | (F.size("out") == 0)
     rest = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "")
-    text = F.when(whole, F.col("text")).otherwise(rest)
-    n_removed = F.when(whole, 0).otherwise(F.size("lines") - F.size("kept"))
-    done = kept.select(*own, F.inline(F.array(F.struct(text.alias("text"), F.size("lines").alias("n_lines"), n_removed.alias("n_removed")))))
+    n_lines = F.size("lines") - 1
+    done = kept.select(*own, F.inline(F.array(F.struct(F.when(whole, F.col("text")).otherwise(rest).alias("text"), n_lines.alias("n_lines"), F.when(whole, 0).otherwise(F.size("out")).alias("n_removed")))))
     return done.select(F.struct(*[F.col(k).alias(c) for k, c in own.items()]).alias("row"), "text", "n_lines", "n_removed")
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with texts freed of repeats. Documents that lost lines and have no word left are dropped;
-    whatever is left of the others stays, for later stages to judge.
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:
+    """``docs`` with texts freed of repeats. Documents that lost lines and have fewer than ``min_words``
+    words left are dropped; whatever is left of the others stays.
 
     A column ``n_chars`` follows the text.
     """
-    done = deduplicated(docs, id_col, text_col).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
+    words = F.size(F.regexp_extract_all(F.col("text"), F.lit(r"(\S*[\p{L}\p{N}]\S*)"), F.lit(1)))
+    done = deduplicated(docs, id_col, text_col).where((F.col("n_removed") == 0) | (words >= min_words))
     new = {text_col: F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
