@@ -25,12 +25,11 @@ from pyspark.sql import functions as F
 
 from recall_spark.llm.common import cut, text_hash
 
-#: Characters of a word that ends a line. Chinese and Japanese marks end a word as white space does.
+#: Characters of a word that ends a line.
 LONG = 7
-_MARKS = r"、。！，：；？"
-#: Short words, then any word or none (group 1), and the white space after it. Possessive, so matching
-#: is linear and takes every character.
-LINE = rf"((?:[^\s{_MARKS}]{{1,{LONG - 1}}}+[ \t\x0B\f\r{_MARKS}]++(?=\S))*+[^\s{_MARKS}]*+[{_MARKS}]*+)\s*+"
+#: Short words, then a word or none (group 1), and the white space after it. Chinese and Japanese text
+#: has a word up to its marks. Possessive, so matching is linear and takes every character.
+LINE = rf"((?:\S{{1,{LONG - 1}}}+[ \t\x0B\f\r]++(?=\S))*+(?:[\x21-\u2FFF]++|[^\s\x21-\u2FFF][^\s\u3001\u3002\uFF01-\uFF1F]*+[\u3001\u3002\uFF01-\uFF1F]*+)?+)\s*+"
 MIN_CHARS = 120
 #: 64-bit words of the bitmap: 2 MB.
 SLOTS = 1 << 18
@@ -48,21 +47,25 @@ def _step(value: Column, name: str) -> Column:
     return F.explode(F.array(value)).alias(name)
 
 
+def _part(of: str, a: Column, n: Column) -> Column:
+    """``n`` elements of an array from number ``a`` on. ``slice`` copies the whole array each time."""
+    return F.transform(F.sequence(a, a + n - 1), lambda i: F.get(of, i))
+
+
 def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, mark, lines, chunks)`` of texts with two lines or more; ``chunks`` is
-    ``array<struct<a,n,hash>>``: number of the first line, number of lines and their hash."""
+    """``(id, mark, ends, chunks)`` of texts with two lines or more: each chunk's lines joined by
+    newlines, which no line holds, and for each line whether a chunk ends with it."""
     text = F.col(f"`{text_col}`")
     own = docs.select(F.col(f"`{id_col}`").alias("id"), text_hash(text).alias("mark"), _step(lines(text, 1), "all"))
     own = own.where(F.size("all") > 2).select("id", "mark", _step(F.slice("all", 1, F.size("all") - 1), "lines"))
     own = own.select("id", "mark", "lines", _step(F.transform("lines", lambda x: F.xxhash64(x)), "h"))
-    n = F.size("h")
-    rolling = F.zip_with(F.slice("h", 1, n - 1), F.slice("h", 2, n - 1), lambda x, y: F.xxhash64(x, y))
-    own = own.select("id", "mark", "lines", "h", _step(rolling, "r"))
-    inner = F.when(n > 3, F.sequence(F.lit(1), n - 3)).otherwise(F.array().cast("array<int>"))
-    least = F.filter(inner, lambda i: (F.get("r", i) < F.get("r", i - 1)) & (F.get("r", i) <= F.get("r", i + 1)))
-    own = own.select("id", "mark", "lines", "h", _step(F.transform(least, lambda i: i + 1), "cuts"))
-    both = F.zip_with(F.concat(F.array(F.lit(0)), "cuts"), F.concat("cuts", F.array(n)), lambda a, z: F.struct(a.alias("a"), (z - a).alias("n"), F.xxhash64(F.slice("h", a + 1, z - a)).alias("hash")))
-    return own.select("id", "mark", "lines", _step(both, "chunks"))
+    rolling = F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1)))
+    own = own.select("id", "mark", "lines", _step(rolling, "r"))
+    n = F.size("r")
+    ends = F.transform("r", lambda x, i: (i > 0) & (i < n - 2) & (x < F.get("r", i - 1)) & (x <= F.get("r", i + 1)))
+    own = own.select("id", "mark", "lines", _step(ends, "ends"))
+    marked = F.transform("lines", lambda x, i: F.when(F.get("ends", i), F.concat(x, F.lit("\n"))).otherwise(x))
+    return own.select("id", "mark", "ends", _step(F.split(F.array_join(marked, "\n"), "\n\n", -1), "chunks"))
 
 
 def _slot(h: Column) -> Column:
@@ -85,11 +88,12 @@ def bitmap(hashes: DataFrame) -> Column:
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "word"))), lambda x: x["word"]).alias("words")).scalar()
 
 
-def _equal_lines(x: Column, y: Column) -> Column:
-    """How many leading lines of two arrays are equal."""
+def _equal_lines(x: Column, y: Column, back: bool = False) -> Column:
+    """How many leading lines (or, ``back``, last ones) of two chunks are equal; an empty chunk has none."""
+    x, y = (F.reverse(F.split(c, "\n")) if back else F.split(c, "\n") for c in (F.nullif(x, F.lit("")), F.nullif(y, F.lit(""))))
     n = F.least(F.size(x), F.size(y))
     differ = F.array_position(F.zip_with(F.slice(x, 1, n), F.slice(y, 1, n), lambda a, b: a == b), False)
-    return F.when(differ > 0, differ - 1).otherwise(n).cast("int")
+    return F.when(x.isNull() | y.isNull(), 0).when(differ > 0, differ - 1).otherwise(n).cast("int")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,36 +103,28 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     so the first of equal chunks always stays.
     """
     found = chunks(docs, id_col, text_col)
-    hashes = found.select(F.explode(F.filter("chunks", lambda c: c["n"] > 1)).alias("c")).select(F.col("c.hash").alias("hash"))
+    several = lambda c: F.contains(c, F.lit("\n"))
+    hashes = found.select(F.explode(F.transform(F.filter("chunks", several), lambda c: F.xxhash64(c))).alias("hash"))
     again = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    words = bitmap(again)
-    part = lambda c: F.slice("lines", c["a"] + 1, c["n"])
-    none = F.array().cast("array<string>")
-    wide = F.transform(
-        "chunks",
-        lambda c, j: F.struct(
-            c["hash"].alias("hash"),
-            c["a"].alias("a"),
-            part(c).alias("own"),
-            F.when(j > 0, F.reverse(part(F.get("chunks", j - 1)))).otherwise(none).alias("before"),
-            F.when(j < F.size("chunks") - 1, part(F.get("chunks", j + 1))).otherwise(none).alias("after"),
-        ),
-    )
-    each = found.select("id", "mark", F.explode(wide).alias("x")).where(F.size("x.own") > 1).select("id", "mark", "x.*")
-    met = cut(each.where(F.call_function("getbit", F.get(words, _slot(F.col("hash"))), _bit(F.col("hash"))) == 1))
+    last = F.filter(F.transform("ends", lambda x, i: F.when(x, i + 1)), lambda i: i.isNotNull())
+    each = found.select("id", "mark", "chunks", _step(F.concat(F.array(F.lit(0)), last), "starts"))
+    beside = lambda j: F.coalesce(F.get("chunks", j), F.lit(""))
+    wide = F.transform("chunks", lambda c, j: F.struct(F.xxhash64(c).alias("hash"), F.get("starts", j).alias("a"), c.alias("own"), beside(j - 1).alias("before"), beside(j + 1).alias("after")))
+    each = each.select("id", "mark", F.explode(F.filter(wide, lambda x: several(x["own"]))).alias("x")).select("id", "mark", "x.*")
+    met = cut(each.where(F.call_function("getbit", F.get(bitmap(again), _slot(F.col("hash"))), _bit(F.col("hash"))) == 1))
     first = met.groupBy("hash", "own").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "mark", "a", "before", "after")).alias("first"))
     # Kept, so that both sides of the join come straight from a shuffle and a hot chunk can be split.
     first = cut(first.where("n > 1").drop("n"))
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("a") == F.col("first.a"))
     later = met.join(first, ["hash", "own"]).where(~same)
-    a = F.col("a") - _equal_lines(F.col("before"), F.col("first.before"))
-    z = F.col("a") + F.size("own") + _equal_lines(F.col("after"), F.col("first.after"))
+    a = F.col("a") - _equal_lines(F.col("before"), F.col("first.before"), True)
+    z = F.col("a") + F.size(F.split("own", "\n")) + _equal_lines(F.col("after"), F.col("first.after"))
     return later.select("id", "mark", a.alias("a"), z.alias("z"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(row, text, n_lines, n_removed)``: every row of ``docs`` as a struct, its text without the
-    repeats, and how many of its lines there were and went.
+    """``(row, text, n_removed)``: every row of ``docs`` as a struct, its text without the repeats, and
+    how many of its lines went.
 
     The rest of a text is unchanged, byte for byte. A null text stays null. Rows of one id
     and text are one document: they don't remove each other. Null ids come first.
@@ -140,20 +136,19 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = {f"_c{i}": c for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in own.items()], F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), text_hash(F.col(f"`{text_col}`")).alias("mark"))
     met = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select(*own, "text", "gone")
-    split = met.select(*own, "text", "gone", _step(lines(F.col("text")), "lines"))
+    split = met.select(*own, "text", "gone", _step(F.when(F.col("gone").isNotNull(), lines(F.col("text"))), "lines"))
     at = F.array_sort(F.array_distinct(F.flatten(F.transform("gone", lambda x: F.sequence(x["a"], x["z"] - 1)))))
     split = split.select(*own, "text", "lines", _step(at, "at"))
     starts = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) != x - 1))
     ends = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) != x + 1))
-    size = lambda s, e: F.aggregate(F.slice("lines", s + 1, e - s + 1), F.lit(0), lambda n, x: n + F.length(x))
+    size = lambda s, e: F.aggregate(_part("lines", s, e - s + 1), F.lit(0), lambda n, x: n + F.length(x))
     runs = F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"), size(s, e).alias("chars"))), lambda r: r["chars"] >= min_chars)
     split = split.select(*own, "text", "lines", _step(F.flatten(F.transform(runs, lambda r: F.sequence(r["s"], r["e"]))), "out"))
     kept = split.select(*own, "text", "lines", "out", _step(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "out"), "kept"))
     whole = F.col("out").isNull() | (F.size("out") == 0)
     rest = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "")
-    n_lines = F.size("lines") - 1
-    done = kept.select(*own, F.inline(F.array(F.struct(F.when(whole, F.col("text")).otherwise(rest).alias("text"), n_lines.alias("n_lines"), F.when(whole, 0).otherwise(F.size("out")).alias("n_removed")))))
-    return done.select(F.struct(*[F.col(k).alias(c) for k, c in own.items()]).alias("row"), "text", "n_lines", "n_removed")
+    done = kept.select(*own, F.inline(F.array(F.struct(F.when(whole, F.col("text")).otherwise(rest).alias("text"), F.when(whole, 0).otherwise(F.size("out")).alias("n_removed")))))
+    return done.select(F.struct(*[F.col(k).alias(c) for k, c in own.items()]).alias("row"), "text", "n_removed")
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:

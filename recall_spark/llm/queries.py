@@ -73,7 +73,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("row.doc_id", "text", "n_lines", "n_removed")
+    return found.select("row.doc_id", "text", "n_removed")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
