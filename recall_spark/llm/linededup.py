@@ -11,7 +11,7 @@ chunk has two lines or more, three on average.
 Repeats. Chunks are counted by hash over all documents. Only those that may repeat travel with their
 lines, and are grouped by the lines themselves, byte for byte; all but the first (least id, then text,
 then place) go. A passage that begins or ends inside a chunk is followed line by line into the chunks
-beside it, as far as its lines are those of the first copy. What goes is a run of lines of
+beside it, unless these repeat themselves, as far as its lines are those of the first copy. What goes is a run of lines of
 ``MIN_CHARS`` characters or more; shorter runs are phrases of the language and stay.
 
 Which chunks may repeat is told by one bit of their hash in a bitmap of fixed size, so a chunk that
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recall_spark.llm.common import cut, text_hash
+from recall_spark.llm.common import may_hold, text_hash, written
 
 #: Characters of a word that ends a line.
 LONG = 7
@@ -31,8 +31,6 @@ LONG = 7
 #: has a word up to its marks. Possessive, so matching is linear and takes every character.
 LINE = rf"((?:\S{{1,{LONG - 1}}}+[ \t\x0B\f\r]++(?=\S))*+(?:[\x21-\u2FFF]++|[^\s\x21-\u2FFF][^\s\u3001\u3002\uFF01-\uFF1F]*+[\u3001\u3002\uFF01-\uFF1F]*+)?+)\s*+"
 MIN_CHARS = 120
-#: 64-bit words of the bitmap: 2 MB.
-SLOTS = 1 << 18
 
 
 def lines(text: Column, group: int = 0) -> Column:
@@ -68,26 +66,6 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.select("id", "mark", "ends", _step(F.split(F.array_join(marked, "\n"), "\n\n", -1), "chunks"))
 
 
-def _slot(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-
-
-def _bit(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(63)).cast("int")
-
-
-def bitmap(hashes: DataFrame) -> Column:
-    """``array<bigint>`` of ``SLOTS`` words with the bits of all of ``hashes(hash)``, as a scalar subquery.
-
-    The bits are combined before the shuffle; one task puts at most ``SLOTS`` words in order.
-    """
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("hash")))
-    words = hashes.groupBy(_slot(F.col("hash")).alias("slot")).agg(F.bit_or(one).alias("word"))
-    none = hashes.sparkSession.range(0, SLOTS, 1, 1).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("word"))
-    every = words.unionByName(none).groupBy("slot").agg(F.bit_or("word").alias("word"))
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "word"))), lambda x: x["word"]).alias("words")).scalar()
-
-
 def _equal_lines(x: Column, y: Column, back: bool = False) -> Column:
     """How many leading lines (or, ``back``, last ones) of two chunks are equal; an empty chunk has none."""
     x, y = (F.reverse(F.split(c, "\n")) if back else F.split(c, "\n") for c in (F.nullif(x, F.lit("")), F.nullif(y, F.lit(""))))
@@ -96,6 +74,35 @@ def _equal_lines(x: Column, y: Column, back: bool = False) -> Column:
     return F.when(x.isNull() | y.isNull(), 0).when(differ > 0, differ - 1).otherwise(n).cast("int")
 
 
+def _key(i: str, m: str, j: str) -> Column:
+    return F.xxhash64(i, m, j)
+
+
+def _edges(later: DataFrame, alone: DataFrame, met: DataFrame) -> DataFrame:
+    """``(id, mark, side, at, own, other)``: for each chunk of ``later`` and each side of it, the chunk
+    beside it, if that repeats nowhere, and the one beside the first copy.
+
+    Either is at hand or, where it has travelled, looked up by its place: among ``alone``, travelled
+    chunks that repeat nowhere, or in ``met``.
+    """
+    alone = written(alone.groupBy(F.col("id").alias("_i"), F.col("mark").alias("_m"), F.col("j").alias("_j")).agg(F.min("own").alias("found")))
+    held = may_hold(alone.select(_key("_i", "_m", "_j").alias("hash")))
+    sides = []
+    for side, at, step in (("before", "a", -1), ("after", "z", 1)):
+        first = [F.col("first.id").alias("i"), F.col("first.mark").alias("m"), (F.col("first.j") + step).alias("n"), F.col(f"first.{side}").alias("other")]
+        sides.append(later.select("id", "mark", (F.col("j") + step).alias("j"), F.lit(side).alias("side"), F.col(at).alias("at"), F.col(side).alias("own"), *first))
+    both = sides[0].unionByName(sides[1])
+    place = lambda i, m, j: F.col(i).eqNullSafe(F.col("_i")) & (F.col(m) == F.col("_m")) & (F.col(j) == F.col("_j"))
+    columns = ["id", "mark", "side", "at", "own", "i", "m", "n", "other"]
+    looked = both.where(F.col("own").isNull() & held(_key("id", "mark", "j"))).drop("own").join(alone, place("id", "mark", "j")).withColumnRenamed("found", "own")
+    own = written(both.where("own is not null").select(*columns).unionByName(looked.select(*columns)))
+    wanted = own.where("other is null").select(_key("i", "m", "n").alias("hash")).distinct()
+    there = met.where(may_hold(wanted)(_key("id", "mark", "j"))).groupBy(F.col("id").alias("_i"), F.col("mark").alias("_m"), F.col("j").alias("_j")).agg(F.min("own").alias("found"))
+    looked = own.where("other is null").drop("other").join(written(there), place("i", "m", "n")).withColumnRenamed("found", "other")
+    columns = ["id", "mark", "side", "at", "own", "other"]
+    return own.where("other is not null").select(*columns).unionByName(looked.select(*columns))
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, mark, a, z)``: lines ``a`` to before ``z`` are lines in a row that an earlier place has.
 
@@ -105,21 +112,29 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = chunks(docs, id_col, text_col)
     several = lambda c: F.contains(c, F.lit("\n"))
     hashes = found.select(F.explode(F.transform(F.filter("chunks", several), lambda c: F.xxhash64(c))).alias("hash"))
-    again = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    held = may_hold(hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
+    travels = lambda c: several(c) & held(F.xxhash64(c))
     last = F.filter(F.transform("ends", lambda x, i: F.when(x, i + 1)), lambda i: i.isNotNull())
     each = found.select("id", "mark", "chunks", _step(F.concat(F.array(F.lit(0)), last), "starts"))
     beside = lambda j: F.coalesce(F.get("chunks", j), F.lit(""))
-    wide = F.transform("chunks", lambda c, j: F.struct(F.xxhash64(c).alias("hash"), F.get("starts", j).alias("a"), c.alias("own"), beside(j - 1).alias("before"), beside(j + 1).alias("after")))
+    wide = F.transform("chunks", lambda c, j: F.struct(j.alias("j"), F.get("starts", j).alias("a"), c.alias("own"), beside(j - 1).alias("before"), beside(j + 1).alias("after")))
     each = each.select("id", "mark", F.explode(F.filter(wide, lambda x: several(x["own"]))).alias("x")).select("id", "mark", "x.*")
-    met = cut(each.where(F.call_function("getbit", F.get(bitmap(again), _slot(F.col("hash"))), _bit(F.col("hash"))) == 1))
-    first = met.groupBy("hash", "own").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "mark", "a", "before", "after")).alias("first"))
-    # Kept, so that both sides of the join come straight from a shuffle and a hot chunk can be split.
-    first = cut(first.where("n > 1").drop("n"))
-    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("a") == F.col("first.a"))
-    later = met.join(first, ["hash", "own"]).where(~same)
-    a = F.col("a") - _equal_lines(F.col("before"), F.col("first.before"), True)
-    z = F.col("a") + F.size(F.split("own", "\n")) + _equal_lines(F.col("after"), F.col("first.after"))
-    return later.select("id", "mark", a.alias("a"), z.alias("z"))
+    # A chunk beside one that travels goes along only if it doesn't travel itself.
+    met = written(each.where(travels(F.col("own"))).select("id", "mark", "j", "a", "own", *[F.when(~travels(F.col(c)), F.col(c)).alias(c) for c in ("before", "after")]))
+    first = met.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "mark", "j", "before", "after")).alias("first"))
+    # Written, so that both sides of the join come straight from a shuffle and a hot chunk can be split.
+    first = written(first.where("n > 1").select("own", "first"))
+    there = F.col("first.mark").isNotNull()
+    rest = F.when(~there, F.col("own")).alias("own")
+    matched = written(met.join(first, "own", "left").select("id", "mark", "j", "a", (F.col("a") + F.size(F.split("own", "\n"))).alias("z"), rest, "before", "after", "first"))
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("j") == F.col("first.j"))
+    later = matched.where(there & ~same)
+    edges = _edges(later, matched.where(~there).select("id", "mark", "j", "own"), met)
+    back = F.col("side") == "before"
+    n = F.when(back, _equal_lines(F.col("own"), F.col("other"), True)).otherwise(_equal_lines(F.col("own"), F.col("other")))
+    more = edges.select("id", "mark", "at", back.alias("back"), n.alias("n")).where("n > 0")
+    more = more.select("id", "mark", F.when(F.col("back"), F.col("at") - F.col("n")).otherwise(F.col("at")).alias("a"), F.when(F.col("back"), F.col("at")).otherwise(F.col("at") + F.col("n")).alias("z"))
+    return later.select("id", "mark", "a", "z").unionByName(more)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -130,12 +145,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and text are one document: they don't remove each other. Null ids come first.
     An empty table gives an empty result.
     """
-    # Kept, so that all that led to it can be cleaned up before the texts are shuffled.
-    gone = cut(repeats(docs, id_col, text_col).groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set(F.struct("a", "z")).alias("gone")))
+    gone = repeats(docs, id_col, text_col).groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set(F.struct("a", "z")).alias("gone"))
+    gone = written(gone)
     # The caller's columns go along one by one; a struct's fields can be lost in a row of generators.
     own = {f"_c{i}": c for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in own.items()], F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), text_hash(F.col(f"`{text_col}`")).alias("mark"))
-    met = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select(*own, "text", "gone")
+    # Only texts that may lose something are shuffled.
+    touched = may_hold(gone.select(F.xxhash64("_id", "_mark").alias("hash")))(F.xxhash64("id", "mark"))
+    met = rows.where(touched).join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select(*own, "text", "gone")
     split = met.select(*own, "text", "gone", _step(F.when(F.col("gone").isNotNull(), lines(F.col("text"))), "lines"))
     at = F.array_sort(F.array_distinct(F.flatten(F.transform("gone", lambda x: F.sequence(x["a"], x["z"] - 1)))))
     split = split.select(*own, "text", "lines", _step(at, "at"))
@@ -148,7 +165,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = F.col("out").isNull() | (F.size("out") == 0)
     rest = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "")
     done = kept.select(*own, F.inline(F.array(F.struct(F.when(whole, F.col("text")).otherwise(rest).alias("text"), F.when(whole, 0).otherwise(F.size("out")).alias("n_removed")))))
-    return done.select(F.struct(*[F.col(k).alias(c) for k, c in own.items()]).alias("row"), "text", "n_removed")
+    every = done.unionByName(rows.where(~touched).select(*own, "text", F.lit(0).alias("n_removed")))
+    return every.select(F.struct(*[F.col(k).alias(c) for k, c in own.items()]).alias("row"), "text", "n_removed")
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on single texts against plain Python on small fixtures."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from recall_spark.llm import bpe, chat, langid, linededup, pii, quality, queries, urls
@@ -227,70 +229,118 @@ def test_rules_without_a_token_still_run(spark):
 
 
 # -- Line dedup.
-def plain_chunks(text):
-    spans = [m.span() for m in re.finditer(linededup.LINE, text or "")]
-    ends = [m.group(1) for m in re.finditer(linededup.LINE, text or "")]
-    return spans, ends
+def signed(h):
+    return h - (h >> 63 << 64)
+
+
+def long_hash(x, seed):
+    return xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), seed)
 
 
-def test_line_dedup_removes_repeats_and_nothing_else(spark):
+def plain_chunks(text):
+    """``(first line, lines)`` of each chunk, by the same hashes."""
+    own = [m[1] for m in re.finditer(linededup.LINE, text)][:-1]
+    h = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in own]
+    r = [signed(long_hash(b, long_hash(a, 42))) for a, b in zip(h, h[1:])]
+    cuts = [0, *[i + 1 for i in range(1, len(r) - 1) if r[i] < r[i - 1] and r[i] <= r[i + 1]], len(own)]
+    return [(a, own[a:z]) for a, z in zip(cuts, cuts[1:])]
+
+
+def plain_dedup(rows):
+    """Texts of ``rows(id, text)`` without what an earlier place has, by a dictionary of chunks."""
+    order = lambda i: (i is not None, i or 0)
+    first, seen, count = {}, {}, Counter()
+    for i, text in rows:
+        mark = signed(xxhash.xxh64_intdigest((text or "").encode(), 42))
+        every = plain_chunks(text or "")
+        seen[i, mark] = every
+        count.update(tuple(own) for _, own in every if len(own) > 1)
+        for k, (a, own) in enumerate(every):
+            if len(own) > 1:
+                place = (order(i), mark, a, every[k - 1][1] if k else [], every[k + 1][1] if k + 1 < len(every) else [])
+                first[tuple(own)] = min(first.get(tuple(own), place), place)
+    out = []
+    for i, text in rows:
+        mark = signed(xxhash.xxh64_intdigest((text or "").encode(), 42))
+        every, gone = seen[i, mark], set()
+        for k, (a, own) in enumerate(every):
+            f = first.get(tuple(own))
+            if f is None or f[:3] == (order(i), mark, a):
+                continue
+            before, after = (every[b][1] if 0 <= b < len(every) and count[tuple(every[b][1])] < 2 else [] for b in (k - 1, k + 1))
+            lo = sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(before[::-1], f[3][::-1])))
+            hi = sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(after, f[4])))
+            gone |= set(range(a - lo, a + len(own) + hi))
+        whole = [m[0] for m in re.finditer(linededup.LINE, text or "")]
+        for _, run in itertools.groupby(sorted(gone), lambda x, c=itertools.count(): x - next(c)):
+            run = list(run)
+            if sum(len(whole[x]) for x in run) < linededup.MIN_CHARS:
+                gone -= set(run)
+        out.append(text if text is None else "".join(x for n, x in enumerate(whole) if n not in gone))
+    return out
+
+
+def prose(r, n):
+    """``n`` words of invented prose with marks and newlines."""
+    return " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 10))) + r.choice(["", "", "", "", ",", ".", ".\n"]) for _ in range(n)).replace("\n ", "\n")
+
+
+def test_line_dedup_equals_brute_force(spark):
     r = random.Random(7)
-    line = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8))) for _ in range(6)) + r.choice([". ", ".\n", "\n", "? "])
-    shared = "".join(line() for _ in range(20))
-    own = ["".join(line() for _ in range(12)) for _ in range(20)]
-    texts = [a + (shared if i % 3 == 0 else "") + b for i, (a, b) in enumerate(zip(own[:10], own[10:]))] + [own[0] + shared + own[10]] + ODD
-    docs = documents(spark, texts)
-    got = {x.row.doc_id: x for x in linededup.deduplicated(docs).collect()}
-    assert got[0].text == texts[0] and len(got) == len(texts)
-    for i in (3, 6, 9):
-        assert len(got[i].text) < len(texts[i]) - 0.7 * len(shared)
-        assert got[i].text.startswith(texts[i][: len(own[i]) // 2])
-    for i in (1, 2, 4, 5, 7, 8, 11, 12, 13, 14, 15, 16):
-        assert got[i].text == texts[i] and got[i].n_removed == 0
-    assert len(got[10].text) < 200  # an exact copy keeps little
-    left = linededup.cleaned(docs)
-    assert left.columns == docs.columns
-    again = {x.doc_id: x for x in left.collect()}
-    assert again[3].n_chars == len(again[3].text) and again[1].n_chars == 0 and 11 in again
-    assert linededup.deduplicated(docs.limit(0)).count() == 0
+    some = [prose(r, r.randint(5, 200)) for _ in range(12)]
+    texts = [" ".join(x for _ in range(r.randint(1, 4)) for x in (prose(r, r.randint(0, 60)), r.choice(some))) for _ in range(60)]
+    texts += texts[:5] + ODD + ["a b c d e f g h\n" * 300, "\n\n".join(some[:3]), some[0] * 2, "这是第一句话，这是第二句话。" * 20, "\x01\n\n" + some[1]]
+    rows = [(None if i % 11 == 0 else i // 2, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(*x, n, 0, "x") for n, x in enumerate(rows)], "doc_id bigint, text string, n int, hash int, gone string")
+    got = {x.row.n: x for x in linededup.deduplicated(df).collect()}
+    want = plain_dedup(rows)
+    assert [got[n].text for n in range(len(rows))] == want
+    assert sum(x.n_removed > 0 for x in got.values()) > 30
+    assert all((x.n_removed == 0) == (x.text == x.row.text) for x in got.values())
+    assert linededup.deduplicated(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("words", [50, 60, 80, 150])
+def test_line_dedup_finds_passages_wherever_they_begin(spark, words):
+    r = random.Random(words)
+    blocks = [prose(r, words) for _ in range(40)]
+    rows = [(4 * k + c, f"{prose(r, r.randint(30, 90))} x{k}y{c} {b} {prose(r, r.randint(30, 90))}") for k, b in enumerate(blocks) for c in range(4)]
+    got = {x.row.doc_id: x.text for x in linededup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    cut = sum(min(len(t) - len(got[i]), len(blocks[i // 4])) for i, t in rows if i % 4)
+    assert cut >= 0.85 * 3 * sum(map(len, blocks))
+    assert sum(blocks[i // 4] in got[i] for i, _ in rows if i % 4) <= 0.05 * 120
+    assert all(got[i] == t for i, t in rows if i % 4 == 0)
+    # Nothing but the passage goes, save a line at either end that happens to be equal.
+    assert all(len(t) - len(got[i]) <= len(blocks[i // 4]) + 1 for i, t in rows)
 
 
 def test_lines_lose_nothing(spark):
-    texts = [t for t in ODD if t] + ["a.b , c!?\n\n d", "...", " x", "no end", "x.\r\ny"]
+    r = random.Random(8)
+    texts = [t for t in ODD if t] + ["a.b , c!?\n\n d", "...", " x", "no end", "x.\r\ny", "中文 abc，def。ghi\n", "\x00 \x01"]
+    texts += ["".join(r.choice(["a", "é", "中", "。", "，", " ", "\n", "\t", "\x0b", "\x1c", "\u3000", "longerword", "😀"]) for _ in range(r.randint(0, 60))) for _ in range(200)]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", linededup.lines(F.col("t")).alias("l"), linededup.lines(F.col("t"), 1).alias("b")).collect()
-    assert all("".join(x.l) == x.t and len(x.l) == len(x.b) for x in rows)
+    assert all("".join(x.l) == x.t and len(x.l) == len(x.b) and not any("\n" in y for y in x.b) for x in rows)
 
 
-def test_line_dedup_within_a_text_and_repeated_rows(spark):
-    block = "first sentence of the block here. second sentence of the block here.\n" * 1
-    body = "".join(f"unique sentence number {i} stands here alone. " for i in range(10))
-    once = block + body + block
-    rows = [(1, once), (1, once), (2, "other words entirely. nothing else to see. ")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = [x for x in linededup.deduplicated(df).collect() if x.row.doc_id == 1]
-    assert len(got) == 2 and got[0].text == got[1].text and body[:100] in got[0].text
+def test_line_dedup_repeated_rows_do_not_remove_each_other(spark):
+    r = random.Random(9)
+    text, other = prose(r, 100), prose(r, 20)
+    df = spark.createDataFrame([(1, text), (1, text), (None, other), (None, text)], "doc_id bigint, text string")
+    got = sorted((x.row.doc_id or 0, x.text) for x in linededup.deduplicated(df).collect())
+    assert (0, text) in got and (0, other) in got and got[2:] == [(1, got[2][1])] * 2 and len(got[2][1]) < 10
 
 
-def test_line_dedup_keeps_what_is_left(spark):
-    r = random.Random(9)
-    line = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(8)) + ". "
-    shared = "".join(line() for _ in range(60))
-    own = "".join(line() for _ in range(4))
-    df = spark.createDataFrame([(1, shared), (2, shared + own), (3, shared)], "doc_id bigint, text string")
-    left = {x.doc_id: x.text for x in linededup.cleaned(df).collect()}
-    assert left[1] == shared and left[2].endswith(own) and len(left[2]) < 0.2 * len(shared + own)
-
-
-def test_line_dedup_takes_runs_whole_from_any_copy(spark):
-    r = random.Random(13)
-    line = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(8)) + ". "
-    some = lambda n: "".join(line() for _ in range(n))
-    p, q, short = some(8), some(9), some(2)
-    own = [some(5) for _ in range(8)]
-    texts = [own[0] + p + own[1], own[2] + p + q + own[3], own[4] + p + q + own[5] + short, own[6] + short + own[7]]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {x.row.doc_id: x.text for x in linededup.deduplicated(df).collect()}
-    assert got == {0: texts[0], 1: own[2] + q + own[3], 2: own[4] + own[5] + short, 3: own[6] + own[7]}
+def test_cleaned_rows(spark):
+    r = random.Random(10)
+    shared, own, little = prose(r, 300), prose(r, 80), prose(r, 10)
+    texts = [shared, f"{shared} {own}", f"{shared} {little}", shared, "", None, "one"]
+    docs = documents(spark, texts)
+    left = linededup.cleaned(docs, min_words=50)
+    assert left.columns == docs.columns
+    got = {x.doc_id: x for x in left.collect()}
+    assert sorted(got) == [0, 1, 4, 5, 6] and got[0].text == shared
+    assert got[1].text.endswith(own) and len(got[1].text) < len(own) + 60 and got[1].n_chars == len(got[1].text) and got[0].n_chars == 0
+    assert {x.doc_id for x in linededup.cleaned(docs).collect()} == {0, 1, 2, 4, 5, 6}
 
 
 # -- Personal data.
