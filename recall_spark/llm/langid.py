@@ -5,16 +5,20 @@ the longest phrases that occur in a language's labelled text (cross-parsing, Ziv
 the number of phrases, weighted by the bits that name a place in the model, estimates the cross
 entropy. The language with the fewest weighted phrases wins.
 
-The model is fitted on a bounded sample: about ``rows_per_lang`` labelled rows of each language, from
-which ``chars_per_lang`` code points are taken together. Everything else covers all rows and whole
-texts. For speed a text is parsed in stretches of ``STRETCH`` code points, many stretches side by
-side; each stretch starts a phrase, so a text of n code points gains at most n / STRETCH phrases.
+Texts are lower-cased and parsed as UTF-8 bytes, so every script has an alphabet of at most 256
+symbols and no character stands for another. Bytes that a language's labelled text doesn't hold
+extend no phrase of it, whichever they are.
+
+The model is fitted on a bounded sample: about ``rows_per_lang`` labelled rows of each language, whole,
+of up to ``row_chars`` code points (longer ones where a language has no others). Everything else covers
+all rows, all languages and whole texts. For speed a text is parsed in stretches side by side, each
+from a guessed state; stretches whose guess was wrong are parsed again from the state that the one
+before ended in, until all agree. So the phrases are those of a parse from left to right.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +29,32 @@ from recall_spark.llm.common import small_batches
 
 STRETCH = 256
 LETTER = r"\p{L}"
-#: Columns of a transition table: the sample's most frequent characters, then any other, then padding.
-_SYMBOLS = 64
-_BATCH = 1 << 22
+_BATCH = 1 << 21
+_WIDE = 1 << 13
+#: What fills up the last stretch of a text; no byte.
+PAD = 256
+
+
+def encoded(text: str) -> bytes:
+    return text.lower().encode("utf-8", "replace")
 
 
 class Automaton:
-    """Suffix automaton of a code sequence as one dense table.
+    """Suffix automaton of a byte sequence as one dense table over the bytes that it holds.
 
     ``table[state * symbols + code]`` is the next state, or ``~restart`` where the phrase ends:
-    the state after ``code`` alone. The padding column keeps every state as it is.
+    the state after ``code`` alone. The last two columns are for other bytes, which end a phrase, and
+    for padding, which keeps every state as it is.
     """
 
-    def __init__(self, codes: np.ndarray, symbols: int = _SYMBOLS) -> None:
+    def __init__(self, text: bytes) -> None:
+        raw = np.frombuffer(text, np.uint8)
+        own = np.unique(raw)
+        symbols = len(own) + 2
+        self.code = np.full(257, symbols - 2, np.uint16)
+        self.code[own] = np.arange(len(own))
+        self.code[PAD] = symbols - 1
+        codes = self.code[raw]
         step: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in codes.tolist():
@@ -73,57 +90,61 @@ class Automaton:
         table[:, symbols - 1] = np.arange(len(step))
         self.table, self.bits, self.symbols = table.ravel(), math.log2(max(2, len(codes))), symbols
 
-    def phrases(self, stretches: np.ndarray) -> np.ndarray:
-        """Phrases that end inside each column of ``stretches`` (codes, padded), plus the last one."""
-        state = np.zeros(stretches.shape[1], np.int32)
+    def parse(self, stretches: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many phrases end inside each column of ``stretches`` (bytes, padded), parsed from state
+        ``start``, and the state then."""
+        state = start.astype(np.int32)
         ended = np.zeros(stretches.shape[1], np.int32)
-        for codes in stretches:
+        for row in stretches:
             state *= self.symbols
-            state += codes
+            state += self.code[row]
             state = self.table[state]
             over = state >> 31
             ended -= over
             state ^= over
-        return ended + 1
+        return ended, state
+
+    def phrases(self, stretches: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """As ``parse``, but each column goes on where column ``before`` ended; -1 is a text's start."""
+        start = np.zeros(stretches.shape[1], np.int32)
+        ended, end = start.copy(), start.copy()
+        todo = np.arange(len(start))
+        while len(todo):
+            for at in range(0, len(todo), _WIDE):
+                some = todo[at : at + _WIDE]
+                ended[some], end[some] = self.parse(stretches[:, some], start[some])
+            real = np.where(before >= 0, end[before], 0)
+            todo = np.flatnonzero(real != start)
+            start = real
+        return ended
 
 
 class Model:
-    """Automata of all learned languages over one alphabet."""
+    """Automata of all learned languages."""
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.langs = sorted(samples)
-        seen = Counter(c for x in samples.values() for c in x.lower())
-        top = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: _SYMBOLS - 2]]
-        self.codes = np.full(0x110000, _SYMBOLS - 2, np.uint8)
-        for i, c in enumerate(top):
-            for form in {c, c.upper()}:
-                if len(form) == 1:
-                    self.codes[ord(form)] = i
-        self.automata = [Automaton(self.encode(samples[k])) for k in self.langs]
-
-    def encode(self, text: str) -> np.ndarray:
-        return self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        self.automata = [Automaton(encoded(samples[k])) for k in self.langs]
 
     def costs(self, texts: list[str]) -> np.ndarray:
         """Bits of weighted phrases for each text and language."""
-        sizes = np.array([len(x) for x in texts], np.int64)
-        codes = self.encode("".join(texts))
-        pieces = -(-sizes // STRETCH)
+        raw = [encoded(x) for x in texts]
+        sizes = np.array([len(x) for x in raw], np.int64)
+        every = np.frombuffer(b"".join(raw), np.uint8)
+        pieces = np.maximum(1, -(-sizes // STRETCH))
         owner = np.repeat(np.arange(len(texts)), pieces)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        before = np.where(nth > 0, np.arange(len(owner)) - 1, -1)
         start = np.repeat(np.cumsum(sizes) - sizes, pieces) + nth * STRETCH
         size = np.minimum(STRETCH, np.repeat(sizes, pieces) - nth * STRETCH)
-        order = np.argsort(-size, kind="stable")
-        owner, start, size = owner[order], start[order], size[order]
+        row = np.arange(int(size.max(initial=0)))[:, None]
+        grid = np.full((len(row), len(owner)), PAD, np.uint16)
+        inside = row < size
+        grid[inside] = every[(start + row)[inside]]
         out = np.zeros((len(texts), len(self.langs)))
-        width = 1 << 14
-        for at in range(0, len(owner), width):
-            s, z = start[at : at + width], size[at : at + width]
-            row = np.arange(int(z[0]))[:, None]
-            grid = codes[np.minimum(s + row, len(codes) - 1)]
-            grid[row >= z] = _SYMBOLS - 1
-            for k, automaton in enumerate(self.automata):
-                np.add.at(out[:, k], owner[at : at + width], automaton.phrases(grid) * automaton.bits)
+        for k, automaton in enumerate(self.automata):
+            ended = np.bincount(owner, automaton.phrases(grid, before), len(texts)) + 1
+            out[:, k] = ended * automaton.bits
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -150,38 +171,24 @@ class Model:
         return langs, scores
 
 
-def sample(labelled: DataFrame, rows_per_lang: int = 200, chars_per_lang: int = 30_000, chars_in_all: int = 240_000, max_langs: int = 200, salt: int = 32) -> dict[str, str]:
+def sample(labelled: DataFrame, rows_per_lang: int = 24, row_chars: int = 10_000, salt: int = 8) -> dict[str, str]:
     """Text of each language of ``labelled(id, text, lang)``, to fit the automata on.
 
-    The languages are the ``max_langs`` with most labelled rows that have a letter. Of each, the rows
-    least by hash in ``salt`` classes of ids are taken, so that a language with most of the rows is
-    spread over many tasks. What reaches the driver, and a worker's tables, are bounded: at most
-    ``chars_per_lang`` code points a language and ``chars_in_all`` together.
+    Of each language the rows least by hash in ``salt`` classes of ids are taken, so that a language
+    with most of the rows is spread over many tasks; rows of more than ``row_chars`` code points come
+    after all others. What reaches the driver and each worker grows with the number of languages only.
     """
-    each = max(1, chars_per_lang // rows_per_lang)
     quota = -(-rows_per_lang // salt)
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
-    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
-    if not sizes:
-        return {}
-    part = Window.partitionBy("lang", "salt").orderBy("h", "id")
     h = F.xxhash64(F.col("id").cast("string"))
-    rows = (
-        usable.where(F.col("lang").isin(list(sizes)))
-        .select("id", "lang", h.alias("h"), F.pmod(F.xxhash64(h), F.lit(salt)).alias("salt"), F.substring("text", 1, 4 * each).alias("piece"))
-        .withColumn("n", F.row_number().over(part))
-        .where(F.col("n") <= quota)
-        .select("lang", "n", "h", "piece")
-    )
+    part = Window.partitionBy("lang", "salt").orderBy("long", "h", "mark")
+    own = usable.select("lang", "text", h.alias("h"), F.xxhash64("text").alias("mark"), (F.length("text") > row_chars).alias("long"))
+    rows = own.withColumn("salt", F.pmod(F.xxhash64("h", "mark"), F.lit(salt))).withColumn("n", F.row_number().over(part)).where(F.col("n") <= quota).collect()
     found: dict[str, list[str]] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r.lang, r.n, r.h, r.piece)):
-        found.setdefault(r.lang, []).append(r.piece)
-    most = max(1, min(chars_per_lang, chars_in_all // len(found)))
-    out = {}
-    for lang, pieces in found.items():
-        take = max(each, most // len(pieces))
-        out[lang] = "\n".join(p[:take] for p in pieces)[:most]
-    return out
+    for r in sorted(rows, key=lambda r: (r.lang, r.long, r.n, r.h, r.mark)):
+        if len(found.setdefault(r.lang, [])) < rows_per_lang and not (r.long and found[r.lang]):
+            found[r.lang].append(r.text)
+    return {k: "\n".join(v) for k, v in found.items()}
 
 
 _CACHE: dict[int, Model] = {}

@@ -116,21 +116,52 @@ def test_chat_fold(spark):
 
 
 # -- Language.
+def plain_phrases(sample, text):
+    n, phrase = 1, b""
+    for i in range(len(text)):
+        c = text[i : i + 1]
+        if phrase + c in sample:
+            phrase += c
+        else:
+            n, phrase = n + 1, c if c in sample else b""
+    return n
+
+
 def test_cross_parsing_against_brute_force():
-    sample = "the cat sat on the mat and the dog"
-    model = langid.Model({"xx": sample})
-    own = model.encode(sample).tolist()
-    inside = {tuple(own[i:j]) for i in range(len(own)) for j in range(i + 1, len(own) + 1)}
     r = random.Random(4)
-    for _ in range(200):
-        text = "".join(r.choice("the catsondmz") for _ in range(r.randint(1, 60)))
-        codes, n, phrase = model.encode(text).tolist(), 1, ()
-        for c in codes:
-            if (*phrase, c) in inside:
-                phrase = (*phrase, c)
-            else:
-                n, phrase = n + 1, (c,) if (c,) in inside else ()
-        assert model.costs([text])[0, 0] == pytest.approx(n * model.automata[0].bits)
+    letters = {"xx": "the catsondmz", "ru": "кот сидел на ковре", "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 900))) + "，。"}
+    samples = {k: "".join(r.choice(x) for _ in range(900)) + "the cat sat on the mat and the dog " * 3 for k, x in letters.items()}
+    model = langid.Model(samples)
+    every = "".join(letters.values()) + "QЖ\U0001f600\x00"
+    texts = ["".join(r.choice(letters[k] if r.random() < 0.9 else every) for _ in range(r.randint(0, 60))) for k in letters for _ in range(30)]
+    # Much longer than a stretch, with phrases that cross many of them.
+    texts += [samples["zh"] * 3, samples["xx"] * 2 + "the cat sat on the mat and the dog " * 200, "", "q" * 5000]
+    texts += ["".join(r.choice([samples["ru"][:400], samples["xx"][:700], "кот ", "Q"]) for _ in range(20)) for _ in range(5)]
+    got = model.costs(texts)
+    for k, lang in enumerate(model.langs):
+        own = langid.encoded(samples[lang])
+        want = [plain_phrases(own, langid.encoded(t)) * model.automata[k].bits for t in texts]
+        assert got[:, k] == pytest.approx(want)
+
+
+def test_scripts_and_many_languages_are_told_apart(spark):
+    r = random.Random(14)
+    scripts = {f"s{k}": (0x4E00 + 700 * k, 700) for k in range(12)} | {"ru": (0x430, 32), "el": (0x3B1, 24), "xx": (0x61, 26)}
+    say = lambda at, n, m: "".join(r.choice([chr(at + r.randrange(n))] * 9 + [" "]) for _ in range(m))
+    labelled = spark.createDataFrame([(k, say(*x, 800), lang) for lang, x in scripts.items() for k in range(6)], "id int, text string, lang string")
+    samples = langid.sample(labelled, 6)
+    assert set(samples) == set(scripts)
+    asked = spark.createDataFrame([(lang, say(*x, 300)) for lang, x in scripts.items()], "doc_id string, text string")
+    assert all(x.id == x.lang_pred for x in langid.identify(asked, samples).collect())
+
+
+def test_samples_are_whole_rows(spark):
+    rows = [(k, f"row {k} " * (400 if k % 2 else 40), "xx") for k in range(60)] + [(99, "long only " * 900, "yy"), (None, None, "zz"), (None, "no label", None), (None, "12", "zz")]
+    labelled = spark.createDataFrame(rows, "id int, text string, lang string")
+    got = langid.sample(labelled, 10, 1000)
+    assert set(got) == {"xx", "yy"} and got["yy"] == rows[60][1]
+    parts = got["xx"].split("\n")
+    assert 1 <= len(parts) <= 10 and all(p in {x[1] for x in rows if x[0] is not None and x[0] % 2 == 0} for p in parts)
 
 
 def test_language_of_texts(spark):
@@ -144,7 +175,6 @@ def test_language_of_texts(spark):
     assert langid.identify(df.limit(0), samples).count() == 0
     labelled = df.select(F.col("doc_id").alias("id"), "text", F.when(F.col("doc_id") < 3, "zz").alias("lang"))
     assert set(langid.sample(labelled)) == {"zz"} and langid.sample(labelled.limit(0)) == {}
-    assert len(langid.sample(labelled, 2, 10)["zz"]) <= 10
 
 
 def test_language_held_out_accuracy(spark):
