@@ -82,6 +82,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"),
         *[count(no).alias(f"n_{kind}") for no, kind in enumerate(pii.KINDS)],
+        F.size(F.concat("base", "added")).cast("long").alias("n_found"),
         F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
         pii.listed(F.array_sort(F.concat("base", "added"))).alias("spans"),
     )
