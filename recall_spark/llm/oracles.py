@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recall_spark.llm.quality import FENCE, MIN_WORDS, SHARES, STEPS, TWO_SIDED
+from recall_spark.llm.quality import FENCE, MIN_WORDS, POINTS, SHARES, STEPS, TWO_SIDED, WEIGHT
 from recall_spark.llm.urls import PATTERNS, SITE_RULES
 
 _CONTROL = r"([<\[])(/?(?:s>|INST\]))"
@@ -43,13 +43,24 @@ SELECT page_id, host, path, rule, {said} WHEN pattern IS NOT NULL THEN 'block' E
 URLS = _urls()
 
 
-def _fences(keys: list[str], to: str) -> str:
+def _ranked(sketch: str, keys: list[str], to: str) -> str:
+    own = ", ".join([*keys, "k"])
+    return f"""{to}0 AS (SELECT {own}, bucket, sum(n)::BIGINT AS n FROM {sketch} GROUP BY {own}, bucket),
+ {to}1 AS (SELECT *, (sum(n) OVER (PARTITION BY {own} ORDER BY bucket))::BIGINT AS upto, (sum(n) OVER (PARTITION BY {own}))::BIGINT AS total FROM {to}0)"""
+
+
+def _points(sketch: str, keys: list[str], to: str) -> str:
+    below = lambda x: f"({2 * POINTS} * ({x}) // total + 1) // 2"
+    return f"""{_ranked(sketch, keys, to)},
+ {to} AS (SELECT {", ".join([*keys, "k"])}, bucket, {WEIGHT} * ({below("upto")} - {below("upto - n")}) AS n FROM {to}1)"""
+
+
+def _fences(sketch: str, keys: list[str], to: str) -> str:
     own = ", ".join([*keys, "k"])
     two = ", ".join(f"'{x}'" for x in TWO_SIDED)
-    return f"""{to}0 AS (SELECT {own}, bucket, sum(n) AS n FROM sk GROUP BY {own}, bucket),
- {to}1 AS (SELECT *, sum(n) OVER (PARTITION BY {own} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {own}) AS total FROM {to}0),
- {to}2 AS (SELECT {own}, any_value(total) AS rows, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3 FROM {to}1 GROUP BY {own}),
- {to} AS (SELECT {own}, rows, CASE WHEN k IN ({two}) THEN q1 - {FENCE} * greatest(q3 - q1, slack) ELSE -1 END AS low, q3 + {FENCE} * greatest(q3 - q1, slack) AS high FROM {to}2 JOIN slacks USING (k))"""
+    return f"""{_ranked(sketch, keys, to)},
+ {to}2 AS (SELECT {own}, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3 FROM {to}1 GROUP BY {own}),
+ {to} AS (SELECT {own}, CASE WHEN k IN ({two}) THEN q1 - {FENCE} * greatest(q3 - q1, slack) ELSE -1 END AS low, q3 + {FENCE} * greatest(q3 - q1, slack) AS high FROM {to}2 JOIN slacks USING (k))"""
 
 
 def _quality() -> str:
@@ -70,9 +81,12 @@ def _quality() -> str:
  b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
  sh AS (SELECT doc_id, lang, source, base_failed, u.k AS k, u.v AS v FROM (SELECT *, unnest([{shares}]) AS u FROM b)),
  sk AS (SELECT lang, source, k, v - v % (1::BIGINT << greatest(length(bin(v)) - {STEPS.bit_length()}, 0)) AS bucket, count(*) AS n FROM sh WHERE NOT base_failed GROUP BY ALL),
- {_fences(["lang", "source"], "g")}, {_fences(["lang"], "ln")}, {_fences([], "ev")},
- f AS (SELECT sh.*, CASE WHEN g.rows >= 100 THEN g.low WHEN ln.rows >= 100 THEN ln.low ELSE ev.low END AS low, CASE WHEN g.rows >= 100 THEN g.high WHEN ln.rows >= 100 THEN ln.high ELSE ev.high END AS high
-  FROM sh LEFT JOIN g ON g.k = sh.k AND g.lang IS NOT DISTINCT FROM sh.lang AND g.source IS NOT DISTINCT FROM sh.source LEFT JOIN ln ON ln.k = sh.k AND ln.lang IS NOT DISTINCT FROM sh.lang LEFT JOIN ev ON ev.k = sh.k),
+ {_points("sk", [], "ev")},
+ skl AS (SELECT lang, k, bucket, n FROM sk UNION ALL SELECT lang, ev.k, ev.bucket, ev.n FROM (SELECT DISTINCT lang, k FROM sk) x JOIN ev ON ev.k = x.k),
+ {_points("skl", ["lang"], "ln")},
+ skg AS (SELECT lang, source, k, bucket, n FROM sk UNION ALL SELECT x.lang, x.source, ln.k, ln.bucket, ln.n FROM (SELECT DISTINCT lang, source, k FROM sk) x JOIN ln ON ln.k = x.k AND ln.lang IS NOT DISTINCT FROM x.lang),
+ {_fences("skg", ["lang", "source"], "g")},
+ f AS (SELECT sh.*, g.low, g.high FROM sh LEFT JOIN g ON g.k = sh.k AND g.lang IS NOT DISTINCT FROM sh.lang AND g.source IS NOT DISTINCT FROM sh.source),
  v AS (SELECT doc_id, bool_and(coalesce(v BETWEEN low AND high, true)) AS fine FROM f GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fine AS kept FROM b JOIN v USING (doc_id)"""
 

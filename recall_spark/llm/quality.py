@@ -4,8 +4,9 @@ Each measured share of a text goes into a log-linear histogram of integers (exac
 ``2 * STEPS``, then ``STEPS`` steps to each power of two). Such a histogram is a quantile sketch
 with relative error ``1 / STEPS`` whose merge is addition: partial sketches of one group, of all
 sources of a language and of all languages are sums of counts, the same in whatever order they
-come. A group is judged by fences around its own quartiles; a group of fewer than ``min_rows``
-rows borrows its language's fences, then everyone's.
+come. A group is judged by fences around the quartiles of its own sketch and, as if it had ``PRIOR``
+rows more, its language's, which in turn has as many of everyone's: so the fewer rows a group has, the
+more it borrows, and there is no size at which the rule changes.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ SHARES = {"symbols": 100, "dup_lines": 150, "repeats": 150, "capitals": 150, "wo
 #: Shares that are also bounded from below.
 TWO_SIDED = ("word_len",)
 FENCE = 3
+#: A parent's sketch is lent as so many evenly spaced quantiles, each counting as so many rows.
+POINTS, WEIGHT = 16, 6
+#: Groups up to which the fences are broadcast; with more of them rows are joined by a shuffle.
+BROADCAST_GROUPS = 20_000
 
 _SPACE = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
@@ -70,7 +75,8 @@ def _measure(text: pa.Array) -> pa.Array:
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` as ``_row``, with ``_m`` (METRICS), ``_lang`` and ``_source`` beside it."""
-    kept = small_batches(docs).select(whole_row(docs), F.arrow_udf(_measure, METRICS)(F.col(f"`{text_col}`").cast("binary")).alias("_m"))
+    # Not deterministic, or a filter on the measures would have Spark take them once more.
+    kept = small_batches(docs).select(whole_row(docs), F.arrow_udf(_measure, METRICS).asNondeterministic()(F.col(f"`{text_col}`").cast("binary")).alias("_m"))
     return kept.select("_row", "_m", F.col("_row.lang").alias("_lang"), F.col("_row.source").alias("_source"))
 
 
@@ -103,36 +109,50 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.where(~base_failed()).select("_lang", "_source", one).select("_lang", "_source", "s.share", "s.bucket").groupBy("_lang", "_source", "share", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _fences(sketch: DataFrame, keys: list[str], to: str) -> DataFrame:
-    """Rows and fences of each group of ``keys`` and share, from merged sketches."""
+def _ranked(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """A merged sketch with running and whole counts of each group and share."""
     by = ", ".join([*keys, "share"])
     merged = sketch.groupBy(*keys, "share", "bucket").agg(F.sum("n").alias("n"))
-    ranked = merged.selectExpr("*", f"sum(n) over (partition by {by} order by bucket) as upto", f"sum(n) over (partition by {by}) as total")
+    return merged.selectExpr("*", f"sum(n) over (partition by {by} order by bucket) as upto", f"sum(n) over (partition by {by}) as total")
+
+
+def _points(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """``POINTS`` evenly spaced quantiles of each group and share, as a sketch of weight ``POINTS * WEIGHT``."""
+    below = lambda x: f"({2 * POINTS} * ({x}) div total + 1) div 2"
+    return _ranked(sketch, keys).selectExpr(*keys, "share", "bucket", f"{WEIGHT} * ({below('upto')} - {below('upto - n')}) as n").where("n > 0")
+
+
+def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Fences of each group of ``keys`` and share."""
     at = lambda q: F.min(F.expr(f"case when upto * 4 >= total * {q} then bucket end"))
-    q = ranked.groupBy(*keys, "share").agg(F.max("total").alias("rows"), at(1).alias("q1"), at(3).alias("q3"))
+    q = _ranked(sketch, keys).groupBy(*keys, "share").agg(at(1).alias("q1"), at(3).alias("q3"))
     slack = F.create_map(*[F.lit(x) for k, v in SHARES.items() for x in (k, v)])[F.col("share")]
     reach = FENCE * F.greatest(F.col("q3") - F.col("q1"), slack)
     low = F.when(F.col("share").isin(*TWO_SIDED), F.col("q1") - reach).otherwise(F.lit(-1).cast("long"))
-    return q.groupBy(*keys).agg(F.max("rows").alias(f"{to}_rows"), F.map_from_entries(F.collect_list(F.struct("share", F.struct(low.alias("low"), (F.col("q3") + reach).alias("high"))))).alias(to))
+    return q.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("share", F.struct(low.alias("low"), (F.col("q3") + reach).alias("high"))))).alias("fences"))
 
 
-def thresholds(rows: DataFrame, min_rows: int = 100) -> DataFrame:
+def thresholds(rows: DataFrame) -> DataFrame:
     """``(_lang, _source, fences)``: one map of share to (low, high) for each group.
 
     The number of rows is that of the groups; each group's sketch has at most a few hundred buckets.
     """
     sketch = cut(sketches(rows))
-    group = _fences(sketch, ["_lang", "_source"], "g")
-    lang = _fences(sketch, ["_lang"], "l").withColumnRenamed("_lang", "_l")
-    every = _fences(sketch, [], "e")
-    both = group.join(lang, F.col("_lang").eqNullSafe(F.col("_l")), "left").join(F.broadcast(every), F.lit(True), "left")
-    fences = F.when(F.col("g_rows") >= min_rows, F.col("g")).when(F.col("l_rows") >= min_rows, F.col("l")).otherwise(F.col("e"))
-    return both.select("_lang", "_source", fences.alias("fences"))
+    lent = F.broadcast(_points(sketch, []))  # At most POINTS rows for each share.
+    langs = sketch.select("_lang", "share").distinct().join(lent, "share").select("_lang", "share", "bucket", "n")
+    lang = _points(sketch.select("_lang", "share", "bucket", "n").unionByName(langs), ["_lang"]).withColumnRenamed("_lang", "_l").withColumnRenamed("share", "_k")
+    groups = sketch.select("_lang", "_source", "share").distinct().join(lang, F.col("_lang").eqNullSafe(F.col("_l")) & (F.col("share") == F.col("_k")))
+    return _fences(sketch.unionByName(groups.select(*sketch.columns)), ["_lang", "_source"])
 
 
 def judged(rows: DataFrame, fences: DataFrame) -> DataFrame:
-    """``rows`` of ``measured`` with ``base_failed`` and ``kept`` by a null-safe join on the group."""
-    f = fences.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), "fences")
+    """``rows`` of ``measured`` with ``base_failed`` and ``kept`` by a null-safe join on the group.
+
+    The number of groups is counted first: up to ``BROADCAST_GROUPS`` the rows stay where they are.
+    """
+    fences = cut(fences)
+    few = fences.count() <= BROADCAST_GROUPS
+    f = (F.broadcast(fences) if few else fences).select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), "fences")
     joined = rows.join(f, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
     inside = F.lit(True)
     for k in SHARES:
@@ -141,7 +161,7 @@ def judged(rows: DataFrame, fences: DataFrame) -> DataFrame:
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & inside).drop("_l", "_s", "fences")
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_rows: int = 100) -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, metrics, ``base_failed`` and ``kept``; texts are read once.
 
     Null texts count as empty and fail the base rules; null languages and sources form groups of
@@ -149,11 +169,12 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """
     own = small_batches(docs).select(F.struct(F.col(f"`{id_col}`").alias("id")).alias("_row"), F.arrow_udf(_measure, METRICS)(F.col(f"`{text_col}`").cast("binary")).alias("_m"), F.col("lang").alias("_lang"), F.col("source").alias("_source"))
     narrow = cut(own)
-    return judged(narrow, thresholds(narrow, min_rows)).select("_row.id", "_m.*", "base_failed", "kept")
+    return judged(narrow, thresholds(narrow)).select("_row.id", "_m.*", "base_failed", "kept")
 
 
-def kept_rows(docs: DataFrame, text_col: str = "text", min_rows: int = 100) -> DataFrame:
+def kept_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, whole and unchanged; the measures are computed once to learn
-    the fences and once more in the filtering pass, so no text is shuffled to meet its own measures."""
+    the fences and once more in the filtering pass, so no text is shuffled to meet its own measures. Null
+    texts go; repeated rows share their fate; an empty table gives an empty result."""
     rows = measured(docs, text_col)
-    return judged(rows, thresholds(rows, min_rows)).where("kept").select("_row.*")
+    return judged(rows, thresholds(rows)).where("kept").select("_row.*")
