@@ -25,6 +25,8 @@ EDIT_RATE = 0.1
 LEAKS = "array<struct<item:int,start:int,end:int,edits:int>>"
 _SPACE = ord(" ")
 _STRETCH = 1 << 12
+#: Places that a gram can have in an item and still be paired one by one.
+_FEW = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FOLD: list[np.ndarray] = []
 
@@ -111,10 +113,14 @@ class Index:
         owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         place = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, np.int64)
         every = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(every, kind="stable")
-        self.keys, first, count = np.unique(every[order], return_index=True, return_counts=True)
-        self.first, self.count = first, count
-        self.owner, self.place = owner[order], place[order]
+        # By gram, then item, then place: an entry is one gram of one item, with all its places there.
+        order = np.lexsort((place, owner, every))
+        every, owner, self.place = every[order], owner[order], place[order]
+        fresh = np.ones(len(every), bool)
+        fresh[1:] = (every[1:] != every[:-1]) | (owner[1:] != owner[:-1])
+        self.start = np.append(np.flatnonzero(fresh), len(every))
+        self.item = owner[self.start[:-1]]
+        self.keys, self.first, self.count = np.unique(every[self.start[:-1]], return_index=True, return_counts=True)
         bits = max(16, int(len(self.keys) * 32).bit_length())
         self.shift = np.uint64(64 - bits)
         self.some = np.zeros(1 << bits, bool)
@@ -136,8 +142,9 @@ class Index:
             key[key == len(self.keys)] = 0
             true = self.keys[key] == h[hit]
             hit, key = hit[true], key[true]
-            for begin in range(0, len(codes), _STRETCH):
-                a, z = np.searchsorted(hit, (begin, begin + _STRETCH + self.reach))
+            stretch = max(_STRETCH, self.reach)
+            for begin in range(0, len(codes), stretch):
+                a, z = np.searchsorted(hit, (begin, begin + stretch + self.reach))
                 if a < z:
                     self._regions(codes, hit[a:z], key[a:z], found)
         for i, x in self.short:
@@ -156,32 +163,63 @@ class Index:
         return [(i, int(at[s]), int(at[e - 1]) + 1, n) for i, s, e, n in sorted(out, key=lambda x: (x[1], x[0]))]
 
     def _regions(self, codes: np.ndarray, hit: np.ndarray, key: np.ndarray, found: list) -> None:
+        """Occurrences among the grams of a text at places ``hit``, which are ``key`` of the index."""
         n = self.count[key]
-        post = np.repeat(self.first[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item = self.owner[post]
-        full = np.bincount(item, minlength=len(self.items)) >= self.need
-        if not full.any():
-            return
-        mine = full[item]
-        item = item[mine]
-        diagonal = np.repeat(hit, n)[mine] - self.place[post[mine]]
-        for i in np.flatnonzero(full):
-            d = diagonal[item == i]
-            p, k = self.items[i], int(self.edits[i])
-            values, counts = np.unique(d // (k + 1), return_counts=True)
-            band = dict(zip(values.tolist(), counts.tolist()))
-            for b in sorted({x - s for x in band for s in (0, 1)}):
-                if band.get(b, 0) + band.get(b + 1, 0) < self.need[i]:
-                    continue
-                low, high = b * (k + 1), (b + 2) * (k + 1)
-                inside, often = np.unique(d[(d >= low) & (d < high)], return_counts=True)
-                best = int(inside[often.argmax()])
-                if best >= 0 and np.array_equal(codes[best : best + len(p)], p):
-                    found.append((int(i), best, best + len(p), 0))
-                    continue
-                was = alignment(p, codes, low, high, k)
-                if was:
-                    found.append((int(i), *was))
+        entry = np.repeat(self.first[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at, item = np.repeat(hit, n), self.item[entry]
+        order = np.argsort(item, kind="stable")
+        at, entry, item = at[order], entry[order], item[order]
+        own, begin, often = np.unique(item, return_index=True, return_counts=True)
+        for i, a, c in zip(own.tolist(), begin.tolist(), often.tolist()):
+            if c >= self.need[i]:
+                self._bands(codes, i, at[a : a + c], entry[a : a + c], found)
+
+    def _bands(self, codes: np.ndarray, i: int, at: np.ndarray, entry: np.ndarray, found: list) -> None:
+        """Occurrences of item ``i``, whose grams ``entry`` a text has at ``at``.
+
+        Counted is in how many places of the text a gram falls on a band. An edited occurrence has
+        ``need`` such places. A gram that the item has often counts once for each band from its first
+        to its last place, without its pairs being made: more bands may be retained, never fewer.
+        """
+        p, k, need = self.items[i], int(self.edits[i]), int(self.need[i])
+        low, high = self.place[self.start[entry]], self.place[self.start[entry + 1] - 1]
+        many = self.start[entry + 1] - self.start[entry]
+        base = (int(at.min()) - len(p)) // (k + 1) - 1
+        count = np.zeros((int(at.max()) // (k + 1)) - base + 4, np.int64)
+        few = many <= _FEW
+        c = many[few]
+        pair = np.repeat(self.start[entry[few]] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        diagonal = np.repeat(at[few], c) - self.place[pair]
+        where = np.unique(np.repeat(at[few], c) * len(count) + diagonal // (k + 1) - base)
+        count += np.bincount(where % len(count), minlength=len(count))
+        step = np.zeros(len(count) + 1, np.int64)
+        np.add.at(step, (at[~few] - high[~few]) // (k + 1) - base, 1)
+        np.add.at(step, (at[~few] - low[~few]) // (k + 1) - base + 1, -1)
+        count += np.cumsum(step)[:-1]
+        # Diagonals to try whole: those of pairs, and of the first and last pairs of frequent grams.
+        diagonal = np.sort(np.concatenate([diagonal, at[~few] - low[~few], at[~few] - high[~few]]))
+        most = len(codes) - len(p)
+        rest, whole = [], []
+        for b in (np.flatnonzero(count[:-1] + count[1:] >= need) + base).tolist():
+            first, last = b * (k + 1), (b + 2) * (k + 1)
+            if last <= -k or first > most + k:
+                continue
+            values, often = np.unique(diagonal[np.searchsorted(diagonal, first) : np.searchsorted(diagonal, last)], return_counts=True)
+            best = int(values[often.argmax()]) if len(values) else -1
+            if 0 <= best <= most and np.array_equal(codes[best : best + len(p)], p):
+                whole.append(best)
+            else:
+                rest.append((first, last))
+        found += [(i, x, x + len(p), 0) for x in whole]
+        # What surely overlaps an occurrence without edits would give way to it.
+        starts = np.unique(np.array(whole, np.int64))
+        for first, last in rest:
+            x = np.searchsorted(starts, last + k - len(p))
+            if x < len(starts) and starts[x] < first - 2 * k + len(p):
+                continue
+            was = alignment(p, codes, first, last, k)
+            if was:
+                found.append((i, *was))
 
 
 _INDEXES: dict[int, Index] = {}
