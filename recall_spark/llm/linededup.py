@@ -12,7 +12,7 @@ Repeats. Chunks are counted by hash over all documents. Only those that may repe
 lines, and are grouped by the lines themselves, byte for byte; all but the first (least id, then text,
 then place) go. A passage that begins or ends inside a chunk is followed line by line into the chunks
 beside it, unless these repeat themselves, as far as its lines are those of the first copy. What goes is a run of lines of
-``MIN_CHARS`` characters or more; shorter runs are phrases of the language and stay.
+``MIN_CHARS`` characters or more, the white space after a line counting as one; shorter runs are phrases of the language and stay.
 
 Which chunks may repeat is told by one bit of their hash in a bitmap of fixed size, so a chunk that
 doesn't repeat rarely travels. The bitmap changes what is shuffled, never what is found.
@@ -20,9 +20,12 @@ doesn't repeat rarely travels. The bitmap changes what is shuffled, never what i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recall_spark.functions.binding import let
 from recall_spark.llm.common import may_hold, text_hash, written
 
 #: Characters of a word that ends a line.
@@ -50,20 +53,22 @@ def _part(of: str, a: Column, n: Column) -> Column:
     return F.transform(F.sequence(a, a + n - 1), lambda i: F.get(of, i))
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, mark, ends, chunks)`` of texts with two lines or more: each chunk's lines joined by
-    newlines, which no line holds, and for each line whether a chunk ends with it."""
-    text = F.col(f"`{text_col}`")
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), text_hash(text).alias("mark"), _step(lines(text, 1), "all"))
-    own = own.where(F.size("all") > 2).select("id", "mark", _step(F.slice("all", 1, F.size("all") - 1), "lines"))
-    own = own.select("id", "mark", "lines", _step(F.transform("lines", lambda x: F.xxhash64(x)), "h"))
-    rolling = F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1)))
-    own = own.select("id", "mark", "lines", _step(rolling, "r"))
-    n = F.size("r")
-    ends = F.transform("r", lambda x, i: (i > 0) & (i < n - 2) & (x < F.get("r", i - 1)) & (x <= F.get("r", i + 1)))
-    own = own.select("id", "mark", "lines", _step(ends, "ends"))
-    marked = F.transform("lines", lambda x, i: F.when(F.get("ends", i), F.concat(x, F.lit("\n"))).otherwise(x))
-    return own.select("id", "mark", "ends", _step(F.split(F.array_join(marked, "\n"), "\n\n", -1), "chunks"))
+def chunked(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body(chunks, ends)`` of a text: each chunk's lines joined by newlines, which no line holds, and
+    for each line whether a chunk ends with it."""
+
+    def ends(r: Column) -> Column:
+        return F.transform(r, lambda x, i: (i > 0) & (i < F.size(r) - 2) & (x < F.get(r, i - 1)) & (x <= F.get(r, i + 1)))
+
+    def cut_at(own: Column, e: Column) -> Column:
+        marked = F.transform(own, lambda x, i: F.when(F.get(e, i), F.concat(x, F.lit("\n"))).otherwise(x))
+        return let(F.split(F.array_join(marked, "\n"), "\n\n", -1), lambda c: body(c, e))
+
+    def rolled(own: Column) -> Column:
+        hashes = F.transform(own, lambda x: F.xxhash64(x))
+        return let(let(let(hashes, lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)))), ends), lambda e: cut_at(own, e))
+
+    return let(let(lines(text, 1), lambda x: F.slice(x, 1, F.size(x) - 1)), rolled)
 
 
 def _equal_lines(x: Column, y: Column, back: bool = False) -> Column:
@@ -104,21 +109,24 @@ def _edges(later: DataFrame, alone: DataFrame, met: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, mark, a, z)``: lines ``a`` to before ``z`` are lines in a row that an earlier place has.
+    """``(id, mark, a, z, chars)``: lines ``a`` to before ``z``, of so many characters, are lines in a
+    row that an earlier place has.
 
     Places are ordered by id, text and number. A chunk that goes has an equal one at an earlier place,
     so the first of equal chunks always stays.
     """
-    found = chunks(docs, id_col, text_col)
+    text = F.col(f"`{text_col}`")
     several = lambda c: F.contains(c, F.lit("\n"))
-    hashes = found.select(F.explode(F.transform(F.filter("chunks", several), lambda c: F.xxhash64(c))).alias("hash"))
+    after = lambda ends: F.filter(F.transform(ends, lambda x, i: F.when(x, i + 1)), lambda i: i.isNotNull())
+    both = chunked(text, lambda chunks, ends: F.struct(chunks.alias("chunks"), F.concat(F.array(F.lit(0)), after(ends)).alias("starts")))
+    # Read twice: texts are cut once.
+    found = written(docs.select(F.col(f"`{id_col}`").alias("id"), text_hash(text).alias("mark"), F.explode(F.array(both)).alias("c")).select("id", "mark", "c.*"))
+    hashes = found.select(F.explode("chunks").alias("c")).where(several(F.col("c"))).select(F.xxhash64("c").alias("hash"))
     held = may_hold(hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
     travels = lambda c: several(c) & held(F.xxhash64(c))
-    last = F.filter(F.transform("ends", lambda x, i: F.when(x, i + 1)), lambda i: i.isNotNull())
-    each = found.select("id", "mark", "chunks", _step(F.concat(F.array(F.lit(0)), last), "starts"))
     beside = lambda j: F.coalesce(F.get("chunks", j), F.lit(""))
     wide = F.transform("chunks", lambda c, j: F.struct(j.alias("j"), F.get("starts", j).alias("a"), c.alias("own"), beside(j - 1).alias("before"), beside(j + 1).alias("after")))
-    each = each.select("id", "mark", F.explode(F.filter(wide, lambda x: several(x["own"]))).alias("x")).select("id", "mark", "x.*")
+    each = found.select("id", "mark", F.explode(wide).alias("x")).where(several(F.col("x.own"))).select("id", "mark", "x.*")
     # A chunk beside one that travels goes along only if it doesn't travel itself.
     met = written(each.where(travels(F.col("own"))).select("id", "mark", "j", "a", "own", *[F.when(~travels(F.col(c)), F.col(c)).alias(c) for c in ("before", "after")]))
     first = met.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "mark", "j", "before", "after")).alias("first"))
@@ -126,15 +134,27 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = written(first.where("n > 1").select("own", "first"))
     there = F.col("first.mark").isNotNull()
     rest = F.when(~there, F.col("own")).alias("own")
-    matched = written(met.join(first, "own", "left").select("id", "mark", "j", "a", (F.col("a") + F.size(F.split("own", "\n"))).alias("z"), rest, "before", "after", "first"))
+    matched = written(met.join(first, "own", "left").select("id", "mark", "j", "a", (F.col("a") + F.size(F.split("own", "\n"))).alias("z"), (F.length("own") + 1).alias("chars"), rest, "before", "after", "first"))
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("j") == F.col("first.j"))
     later = matched.where(there & ~same)
     edges = _edges(later, matched.where(~there).select("id", "mark", "j", "own"), met)
     back = F.col("side") == "before"
     n = F.when(back, _equal_lines(F.col("own"), F.col("other"), True)).otherwise(_equal_lines(F.col("own"), F.col("other")))
-    more = edges.select("id", "mark", "at", back.alias("back"), n.alias("n")).where("n > 0")
-    more = more.select("id", "mark", F.when(F.col("back"), F.col("at") - F.col("n")).otherwise(F.col("at")).alias("a"), F.when(F.col("back"), F.col("at")).otherwise(F.col("at") + F.col("n")).alias("z"))
-    return later.select("id", "mark", "a", "z").unionByName(more)
+    more = edges.select("id", "mark", "at", back.alias("back"), n.alias("n"), F.split("own", "\n").alias("own")).where("n > 0")
+    part = F.when(F.col("back"), F.slice("own", -F.col("n"), F.col("n"))).otherwise(F.slice("own", 1, F.col("n")))
+    chars = F.aggregate(part, F.lit(0), lambda t, x: t + F.length(x) + 1)
+    more = more.select("id", "mark", F.when(F.col("back"), F.col("at") - F.col("n")).otherwise(F.col("at")).alias("a"), F.when(F.col("back"), F.col("at")).otherwise(F.col("at") + F.col("n")).alias("z"), chars.alias("chars"))
+    return later.select("id", "mark", "a", "z", "chars").unionByName(more)
+
+
+def _longest(ranges: Column) -> Column:
+    """Characters of the longest run of ranges in order of which each begins where one before ends, or earlier."""
+
+    def step(acc: Column, x: Column) -> Column:
+        chars = F.when(x["a"] <= acc["z"], acc["chars"]).otherwise(0) + x["chars"]
+        return F.struct(F.greatest(acc["z"], x["z"]).alias("z"), chars.alias("chars"), F.greatest(acc["most"], chars).alias("most"))
+
+    return F.aggregate(ranges, F.struct(F.lit(-1).alias("z"), F.lit(0).alias("chars"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -145,8 +165,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and text are one document: they don't remove each other. Null ids come first.
     An empty table gives an empty result.
     """
-    gone = repeats(docs, id_col, text_col).groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set(F.struct("a", "z")).alias("gone"))
-    gone = written(gone)
+    gone = repeats(docs, id_col, text_col).groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.array_sort(F.collect_set(F.struct("a", "z", "chars"))).alias("gone"))
+    gone = written(gone.where(_longest(F.col("gone")) >= min_chars))
     # The caller's columns go along one by one; a struct's fields can be lost in a row of generators.
     own = {f"_c{i}": c for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in own.items()], F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), text_hash(F.col(f"`{text_col}`")).alias("mark"))
@@ -158,7 +178,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     split = split.select(*own, "text", "lines", _step(at, "at"))
     starts = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) != x - 1))
     ends = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) != x + 1))
-    size = lambda s, e: F.aggregate(_part("lines", s, e - s + 1), F.lit(0), lambda n, x: n + F.length(x))
+    size = lambda s, e: F.aggregate(_part("lines", s, e - s + 1), F.lit(0), lambda n, x: n + F.length(F.rtrim(x, F.lit(" \t\n\x0b\f\r"))) + 1)
     runs = F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"), size(s, e).alias("chars"))), lambda r: r["chars"] >= min_chars)
     split = split.select(*own, "text", "lines", _step(F.flatten(F.transform(runs, lambda r: F.sequence(r["s"], r["e"]))), "out"))
     kept = split.select(*own, "text", "lines", "out", _step(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "out"), "kept"))

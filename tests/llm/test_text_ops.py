@@ -304,7 +304,7 @@ def plain_dedup(rows):
         whole = [m[0] for m in re.finditer(linededup.LINE, text or "")]
         for _, run in itertools.groupby(sorted(gone), lambda x, c=itertools.count(): x - next(c)):
             run = list(run)
-            if sum(len(whole[x]) for x in run) < linededup.MIN_CHARS:
+            if sum(len(whole[x].rstrip(" \t\n\x0b\f\r")) + 1 for x in run) < linededup.MIN_CHARS:
                 gone -= set(run)
         out.append(text if text is None else "".join(x for n, x in enumerate(whole) if n not in gone))
     return out
