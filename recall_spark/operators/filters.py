@@ -7,14 +7,18 @@ numbers never equal integer fields, and timestamps are neither comparable nor so
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from operator import and_, or_
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from recall_spark.functions.re2 import to_java
+
 #: Field of the interface -> column; anything else is a metadata key.
 FIELDS = {
     "id": "neuron_id",
@@ -38,6 +42,15 @@ def _known(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
+def _compiles(pattern: str) -> bool:
+    """Whether Java, which runs it, takes the pattern."""
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
+
+
 class FilterCompiler:
     """Turns a filter dict into a boolean Column for ``where``.
 
@@ -113,11 +126,8 @@ class FilterCompiler:
         if op == "$regex":
             if kind != "string" or not isinstance(value, str):
                 return F.lit(False)
-            try:
-                re.compile(value)
-            except re.error:
-                return F.lit(False)
-            return col.rlike(value)
+            java = to_java(value)
+            return col.rlike(java) if java is not None and _compiles(java) else F.lit(False)
         if op == "$exists":
             if not isinstance(value, bool):
                 raise ValueError("$exists takes true or false")

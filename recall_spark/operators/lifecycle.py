@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from recall_spark.operators.dynamics import seconds_between
 
@@ -62,10 +64,32 @@ def pool_stats(activity: DataFrame, as_of: Column, idle: float = 1800) -> DataFr
     return last.agg(F.count_if(~gone).alias("active_workers"), F.count(F.lit(1)).alias("total_created"), F.count_if(gone).alias("total_evicted"), F.sum("ops").alias("total_ops"))
 
 
-def rate_limited(requests: DataFrame, limit: int, window: int = 60) -> DataFrame:
-    """Requests over ``limit`` in their client's fixed window, which starts at its first request."""
-    first = Window.partitionBy("client")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    slot = F.floor((F.col("us") - F.min("us").over(first)) / (window * 1_000_000))
-    slotted = requests.withColumn("us", micros).withColumn("slot", slot)
-    return slotted.withColumn("n", F.row_number().over(Window.partitionBy("client", "slot").orderBy("ts", "request_id"))).where(F.col("n") > limit).drop("us")
+def rate_limited(requests: DataFrame, limit: int, window: float = 60) -> DataFrame:
+    """Requests over ``limit`` in their client's window. A window begins at the first request after the
+    one before has run out.
+
+    Where a window begins depends on where the one before did, so each client's requests are passed in
+    order: sorted by Spark, which may spill, and read as a stream that keeps one client's window.
+    """
+    rows = requests.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    order = rows.repartition("client").sortWithinPartitions("client", "us", "request_id")
+    kept = StructType([*requests.schema.fields, StructField("n", LongType())])
+    over = order.mapInArrow(_counted(round(window * 1_000_000)), StructType([*rows.schema.fields, StructField("n", LongType())]))
+    return over.where(F.col("n") > limit).select(*[f.name for f in kept])
+
+
+def _counted(window: int):
+    """Appends to each request its number in its client's window."""
+
+    def run(batches):
+        client, start, n = None, None, 0
+        for part in batches:
+            out = []
+            for who, us in zip(part.column("client").to_pylist(), part.column("us").to_pylist()):
+                if start is None or who != client or us - start >= window:
+                    client, start, n = who, us, 0
+                n += 1
+                out.append(n)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int64())], names=[*part.schema.names, "n"])
+
+    return run

@@ -251,11 +251,14 @@ def validate_content(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.valid_content(F.col("text")).alias("valid"))
 
 
-@query("SELECT lang AS index_id, min(doc_id) AS first_id, (count(*) - 1)::BIGINT AS fires FROM documents GROUP BY lang, text")
+@query("SELECT lang AS index_id, CASE WHEN count(*) FILTER (source = 'src0') = 0 THEN min(doc_id) END AS first_id, (count(*) - CASE WHEN count(*) FILTER (source = 'src0') = 0 THEN 1 ELSE 0 END)::BIGINT AS fires FROM documents GROUP BY lang, text")
 def dedupe_first_and_fire_count(spark, sf):
-    rows = table(spark, sf, "documents").selectExpr("lang as index_id", "doc_id as seq", "text as content")
-    new, again = ingest.deduplicated(rows, rows.limit(0).withColumn("content_hash", F.lit("")))
-    return new.join(again, ["index_id", "content_hash"], "left").select("index_id", F.col("seq").alias("first_id"), F.coalesce("fires", F.lit(0).cast("long")).alias("fires"))
+    """All documents written to a store that holds those of one source: what is new, and what fires."""
+    rows = table(spark, sf, "documents").selectExpr("lang as index_id", "doc_id as seq", "text as content", "source")
+    stored = rows.where("source = 'src0'").select("index_id", X.content_hash(F.col("content")).alias("content_hash"))
+    new, again = ingest.deduplicated(rows, stored)
+    both = new.select("index_id", "content_hash", "seq").join(again, ["index_id", "content_hash"], "full")
+    return both.select("index_id", F.col("seq").alias("first_id"), F.coalesce("fires", F.lit(0).cast("long")).alias("fires"))
 
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<head\b[^>]*>.*?</head\s*>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[/!?a-zA-Z][^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -346,21 +349,23 @@ def hybrid_search(spark, sf):
     return _ranked(scoring.scored(docs(spark, sf), "the nteres on that word", at(), query_vector=_QV), 50)
 
 
+_KEY = "CASE WHEN strlen({0}) > 3 THEN hex(encode({0})[1:3]) ELSE '=' || {0} END"
+
+
 @query(
-    f"""WITH {DOCS}, q AS (SELECT item_id, 'en' AS index_id, string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] || ' ' || string_split(text, ' ')[3] || ' ' || string_split(text, ' ')[4] AS query FROM benchmark WHERE item_id < 20),
- t AS (SELECT *, {_TOKENS.format('content')} AS tk FROM docs), qt AS (SELECT *, {_TOKENS.format('query')} AS qk FROM q),
- m AS (SELECT item_id, t.*, qk, query, list_transform(qk, lambda w: list_filter(tk, lambda c: c = w OR (strlen(c) > 3 AND strlen(w) > 3 AND encode(c)[1:3] = encode(w)[1:3]))[1]) AS hits FROM t JOIN qt USING (index_id)),
- s AS (SELECT *, (CASE WHEN contains(lower(content), lower(query)) THEN 10.0::DOUBLE ELSE 0 END)
-  + 0.3::DOUBLE * len(list_filter(list_zip(qk, hits), lambda z: z[2] IS NOT NULL AND z[2] <> z[1])) + len(list_filter(hits, lambda h: h IS NOT NULL))::DOUBLE / len(qk) * 5.0 AS lex FROM m),
- z AS (SELECT *, round((lex + CASE WHEN strlen(query) <= 20 AND lex < 8.0 THEN coalesce(list_sum(list_transform(tk[1:8], lambda t: CASE WHEN 1.0 - levenshtein(lower(query), t) / greatest(strlen(query), strlen(t))::DOUBLE > 0.7 THEN (1.0 - levenshtein(lower(query), t) / greatest(strlen(query), strlen(t))::DOUBLE) * 2.0 ELSE 0.0::DOUBLE END)), 0) ELSE 0 END) * {_DYN}, 6) AS score FROM s WHERE len(qk) > 0)
- SELECT item_id AS query_id, rank::INT AS rank, neuron_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, neuron_id) AS rank FROM z WHERE score > 0) WHERE rank <= 10"""
+    f"""WITH {DOCS}, t AS (SELECT *, {_TOKENS.format('content')} AS tk FROM docs), q AS (SELECT item_id, text AS query, {_TOKENS.format('text')} AS qk FROM benchmark),
+ c AS (SELECT neuron_id, unnest(tk) AS w, generate_subscripts(tk, 1) AS pos FROM t), k AS (SELECT neuron_id, {_KEY.format('w')} AS key, arg_min(w, pos) AS first FROM c GROUP BY 1, 2),
+ a AS (SELECT item_id, w, {_KEY.format('w')} AS key, count(*) AS n FROM (SELECT item_id, unnest(qk) AS w FROM q) GROUP BY 1, 2, 3),
+ m AS (SELECT item_id, neuron_id, sum(n)::DOUBLE AS matched, sum(CASE WHEN first <> w THEN n ELSE 0 END)::DOUBLE AS partial FROM a JOIN k USING (key) GROUP BY 1, 2),
+ s AS (SELECT q.item_id, t.*, query, (CASE WHEN contains(lower(content), lower(query)) THEN 10.0::DOUBLE ELSE 0 END) + 0.3::DOUBLE * coalesce(partial, 0) + coalesce(matched, 0) / len(qk)::DOUBLE * 5.0::DOUBLE AS lex
+  FROM q JOIN t ON len(qk) > 0 LEFT JOIN m ON m.item_id = q.item_id AND m.neuron_id = t.neuron_id),
+ z AS (SELECT *, (lex + CASE WHEN strlen(query) <= 20 AND lex < 8.0 THEN coalesce(list_sum(list_transform(tk[1:8], lambda t: CASE WHEN 1.0 - levenshtein(lower(query), t) / greatest(strlen(query), strlen(t))::DOUBLE > 0.7 THEN (1.0 - levenshtein(lower(query), t) / greatest(strlen(query), strlen(t))::DOUBLE) * 2.0 ELSE 0.0::DOUBLE END)), 0) ELSE 0 END) * ({_DYN}) AS score FROM s)
+ SELECT item_id AS query_id, rank::INT AS rank, index_id, neuron_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, neuron_id) AS rank FROM z WHERE score > 0) WHERE rank <= 10"""
 )
 def batch_search(spark, sf):
-    first = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
-    asked = table(spark, sf, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.lit("en").alias("index_id"), first.alias("query"))
-    out = scoring.batch(docs(spark, sf), asked, at(), 40)
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "neuron_id")
-    return out.withColumn("score", r6("score")).withColumn("rank", F.row_number().over(by)).where("rank <= 10").select("query_id", "rank", "neuron_id", "score")
+    """Every benchmark item, whole, against every index: the ten best nodes of each."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(None).cast("string").alias("index_id"), F.col("text").alias("query"))
+    return scoring.batch(docs(spark, sf), asked, at(), 10).withColumn("score", r6("score"))
 
 
 def _mood(c: str) -> str:
@@ -611,10 +616,16 @@ def pool_stats(spark, sf):
     return lifecycle.pool_stats(views.activity(spark, sf), _now())
 
 
-@query("WITH e AS (SELECT user_id AS client, event_id AS request_id, ts, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) // 3600000000 AS slot FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY client, slot ORDER BY ts, request_id) AS n FROM e) SELECT client, request_id FROM n WHERE n > 1")
+@query(
+    """WITH RECURSIVE w AS (SELECT user_id AS client, min(ts) AS began FROM events GROUP BY 1
+  UNION ALL SELECT w.client, min(e.ts) FROM w JOIN events e ON e.user_id = w.client AND e.ts >= w.began + INTERVAL 6 HOUR GROUP BY w.client),
+ n AS (SELECT user_id AS client, event_id AS request_id, ts, (SELECT max(began) FROM w WHERE w.client = e.user_id AND began <= e.ts) AS began FROM events e),
+ r AS (SELECT *, row_number() OVER (PARTITION BY client, began ORDER BY ts, request_id) AS n FROM n) SELECT client, request_id, n FROM r WHERE n > 1"""
+)
 def rate_limit_fixed_window(spark, sf):
+    """One request a client in six hours, from the first after the last window ran out."""
     asked = table(spark, sf, "events").selectExpr("user_id as client", "event_id as request_id", "ts")
-    return lifecycle.rate_limited(asked, 1, 3600).select("client", "request_id")
+    return lifecycle.rate_limited(asked, 1, 6 * 3600).select("client", "request_id", "n")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from recall_spark.config import EngineConfig
 from recall_spark.operators import dynamics, lifecycle, spatial
-from recall_spark.sources.store import GraphStore, durable
+from recall_spark.sources.store import GraphStore
 
 
 class Daemons:
@@ -27,23 +27,23 @@ class Daemons:
         awake = found.where("state in ('active', 'idle')").select("index_id")
         nodes = dynamics.decay_nodes(n.join(awake, "index_id", "left_semi"), as_of, self.config.decay_rate).unionByName(n.join(awake, "index_id", "left_anti"))
         edges = dynamics.prune_edges(dynamics.decay_edges(s.join(awake, "index_id", "left_semi"), as_of, self.config.edge_decay_rate)).unionByName(s.join(awake, "index_id", "left_anti"))
-        self.store.commit({"neurons": durable(nodes), "synapses": durable(edges)})
+        self.store.commit({"neurons": nodes, "synapses": edges})
 
     def consolidate(self, as_of: Column) -> None:
         n = self.store.read("neurons")
         sleeping = self._states(as_of).where("state = 'sleeping'").select("index_id")
         deeper = dynamics.consolidate(n.join(sleeping, "index_id", "left_semi"), as_of)
-        self.store.commit({"neurons": durable(deeper.unionByName(n.join(sleeping, "index_id", "left_anti")))})
+        self.store.save("neurons", deeper)
 
     def prune(self) -> None:
         n, s = dynamics.prune(self.store.read("neurons"), self.store.read("synapses"))
-        self.store.commit({"neurons": durable(n), "synapses": durable(s)})
+        self.store.commit({"neurons": n, "synapses": s})
 
     def reorganise(self, as_of: Column) -> None:
         n = self.store.read("neurons")
         sleeping = self._states(as_of).where("state = 'sleeping'").select("index_id")
         moved = spatial.reorganise(n.join(sleeping, "index_id", "left_semi"), self.store.read("synapses"))
-        self.store.commit({"neurons": durable(moved.select(*n.columns).unionByName(n.join(sleeping, "index_id", "left_anti")))})
+        self.store.save("neurons", moved.select(*n.columns))
 
 
 def every(spark: SparkSession, seconds: float, job, checkpoint: str) -> StreamingQuery:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,7 +242,37 @@ def test_lifecycle_and_limits(spark):
     dist = lifecycle.distribution(lifecycle.states(act, AT)).first()
     assert (dist.total, dist.active, dist.dormant) == (1, 1, 0)
     asked = spark.createDataFrame([("c", i, NOW + dt.timedelta(seconds=s)) for i, s in enumerate((0, 1, 2, 61, 62))], "client string, request_id int, ts timestamp_ntz")
-    assert [r.request_id for r in lifecycle.rate_limited(asked, 2).collect()] == [2]
+    assert [(r.request_id, r.n) for r in lifecycle.rate_limited(asked, 2).collect()] == [(2, 3)]
+
+
+def plain_limited(rows, limit, window):
+    """A window starts anew at the first request after it ran out."""
+    out, state = [], {}
+    for who, i, s in sorted(rows, key=lambda x: (x[0], x[2], x[1])):
+        start, n = state.get(who, (None, 0))
+        start, n = (s, 1) if start is None or s - start >= window else (start, n + 1)
+        state[who] = start, n
+        out += [(who, i)] if n > limit else []
+    return sorted(out)
+
+
+def test_rate_limit_windows_follow_requests(spark):
+    r = random.Random(3)
+    rows = [(f"c{r.randint(0, 3)}", i, r.randint(0, 3000)) for i in range(900)]
+    df = spark.createDataFrame([(c, i, NOW + dt.timedelta(seconds=s)) for c, i, s in rows], "client string, request_id int, ts timestamp_ntz")
+    for limit, window in ((1, 60), (3, 100)):
+        assert sorted((x.client, x.request_id) for x in lifecycle.rate_limited(df.repartition(7), limit, window).collect()) == plain_limited(rows, limit, window)
+
+
+def test_regex_is_re2s(spark):
+    df = neurons(spark, *[neuron(str(i), c) for i, c in enumerate(["abc", "ab\n", "É x\x0by", "12", "a[b&c"])])
+    found = lambda p: ids(df.where(filters.compile_filter({"content": {"$regex": p}})).orderBy("neuron_id"))
+    assert found(r"\p{L}+") == ["0", "1", "2", "4"] and found("(?P<name>b)c") == ["0"]
+    assert found("b$") == [] and found("(?m)b$") == ["1"] and found("(?i)é") == ["2"]
+    assert found(r"\s") == ["1", "2"] and found(r"x\sy") == [] and found(r"x\vy") == ["2"]
+    assert found("[[:digit:]]") == ["3"] and found("[[&]") == ["4"] and found(r"^\Qa[b\E") == ["4"]
+    for refused in (r"a(?=b)", r"(a)\1", "a*+", "a++", "(", r"\Z", "(?<n>a)(?>b)"):
+        assert found(refused) == []
 
 
 def test_spatial(spark):
@@ -273,6 +304,42 @@ def test_store_and_registry(spark, tmp_path):
     store.delete("u")
     assert not store.exists("u") and store.vacuum() > 0 and store.exists("t")
     assert observe.integrity(store.read("neurons"), store.read("synapses")).first().dangling_synapses == 0
+
+
+def test_store_writes_touched_indexes_only(spark, tmp_path):
+    store = GraphStore.open(spark, str(tmp_path / "s"))
+    store.commit({"neurons": neurons(spark, *[neuron(f"n{k}", "text", index=f"i{k}") for k in range(6)])})
+    before = set((tmp_path / "s" / "neurons").rglob("*.parquet"))
+    store.save("neurons", neurons(spark, neuron("new", "text", index="i3")))
+    fresh = set((tmp_path / "s" / "neurons").rglob("*.parquet")) - before
+    assert {p.parent.name for p in fresh} == {"index_id=i3"}
+    assert sorted(ids(store.read("neurons"))) == ["n0", "n1", "n2", "n4", "n5", "new"]
+    store.delete("i0")
+    assert set((tmp_path / "s" / "neurons").rglob("*.parquet")) == before | fresh and not store.exists("i0")
+    store.MOST_PARTS = 2
+    store.save("neurons", neurons(spark, neuron("back", "text", index="i0")))
+    assert len(store.latest()[1]["neurons"]) == 1 and sorted(ids(store.read("neurons"))) == ["back", "n1", "n2", "n4", "n5", "new"]
+
+
+def test_store_survives_a_killed_writer_and_tells_of_clashes(spark, tmp_path):
+    store = GraphStore.open(spark, str(tmp_path / "s"))
+    store.save("neurons", neurons(spark, neuron("a", "text")))
+    last = store.latest()
+    # Killed after the data, before the commit; then in the middle of the commit file.
+    store._written("neurons", neurons(spark, neuron("b", "text")))
+    assert ids(GraphStore.open(spark, store.path).read("neurons")) == ["a"]
+    (tmp_path / "s" / "_commits" / f"{last[0] + 1:012d}.json").write_text('{"neurons": [{"v"')
+    again = GraphStore.open(spark, store.path)
+    assert again.latest() == last
+    again.save("neurons", neurons(spark, neuron("c", "text")))
+    assert ids(store.read("neurons")) == ["c"]
+    with pytest.raises(errors.Conflict):
+        store._next(last, {})
+    for f in (tmp_path / "s" / "_commits").iterdir():
+        f.unlink()
+    with pytest.raises(errors.InternalError):
+        GraphStore.open(spark, store.path)
+    assert any((tmp_path / "s" / "neurons").rglob("*.parquet"))
     reg = Registry.empty(spark).create("i1", {"k": "v"}, "2024-01-01")
     with pytest.raises(errors.UUIDConflict):
         reg.create("i1", None, "2024-01-01")
