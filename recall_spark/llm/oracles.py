@@ -31,13 +31,14 @@ def _urls() -> str:
     rule = "CASE " + " ".join(f"WHEN {fits(r.name)} THEN '{r.name}'" for r in sites) + " END"
     said = "CASE " + " ".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in sites)
     own = sorted(PATTERNS, key=lambda r: (len(r.pattern), r.verdict, r.name), reverse=True)
-    pattern = "CASE " + " ".join(f"WHEN regexp_matches(low, '(?:[^a-z0-9]|^|$){r.name.strip('^')}(?:[^a-z0-9]|^|$)') THEN '{r.name}'" for r in own) + " END"
+    pattern = "CASE " + " ".join(f"WHEN regexp_matches(low, '{r.regex()}') THEN '{r.name}'" for r in own) + " END"
+    passed = ", ".join(f"'{r.name}'" for r in own if r.verdict == "allow")
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{upper}', '{lower}') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
  r AS (SELECT *, {rule} AS rule, translate(host || path, '{upper}', '{lower}') AS low FROM p),
  m AS (SELECT *, CASE WHEN rule IS NULL THEN {pattern} END AS pattern FROM r)
-SELECT page_id, host, path, rule, {said} WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern FROM m"""
+SELECT page_id, host, path, rule, {said} WHEN pattern NOT IN ({passed}) THEN 'block' ELSE 'allow' END AS verdict, pattern FROM m"""
 
 
 URLS = _urls()

@@ -49,8 +49,29 @@ SITE_RULES = [
     site_rule("com/fr/", "allow"),
     site_rule("com/de/", "block"),
 ]
-#: The method's own rules for what no site rule decides.
-PATTERNS = [Rule(f"^{x}^", f"^{x}^", "block") for x in ("casino", "casino-win", "free-bets", "cheap-pills", "ads-track", "ads", "spam-farm", "spam", "adult-x", "adult", "porn", "xxx", "warez", "viagra")]
+#: Words that block wherever they stand as a token.
+_WORDS = "casino porn xxx warez viagra adult spam ads poker betting escort keygen torrent jackpot roulette cialis nude webcam hentai crackz".split()
+#: Words that block next to each other, each first one with each second one.
+_FIRST = "free cheap best buy win online fast easy instant discount".split()
+_SECOND = "bets pills loans followers meds slots spins replica likes betting crypto lottery diploma backlinks coupons".split()
+#: Words that block with anything between them, in this order.
+_OPEN, _CLOSE = "click track redirect banner popup affiliate".split(), "out go ref campaign exit sponsor".split()
+#: Hosts whose label blocks, whatever follows.
+_HOSTS = "adserver adtrack doubleads popads trackers spamfarm clickfarm linkfarm".split()
+#: Longer patterns that let pass what a shorter one would block.
+_PASS = ["adult^education", "adult^learning", "adult^literacy", "spam^filter", "spam^report", "casino^royale", "xxx^olympiad", "free^loans^library", "ads^txt", "track^*^package^*^out"]
+
+
+def _own_rules() -> list[Rule]:
+    """The method's own rules for what no site rule decides."""
+    block = [f"^{w}^" for w in _WORDS]
+    block += [f"^{a}^{b}^" for a in _FIRST for b in _SECOND]
+    block += [f"^{a}^*^{b}^" for a in _OPEN for b in _CLOSE]
+    block += [f"||{h}^" for h in _HOSTS] + [f"||*.{h}.*^" for h in _HOSTS]
+    return [Rule(p, p, "block") for p in block] + [Rule(f"^{p}^", f"^{p}^", "allow") for p in _PASS]
+
+
+PATTERNS = _own_rules()
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,6 +87,21 @@ def _rules_table(spark, rows: list[dict]) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
 
+def filed(rules: list[Rule], seen: dict[str, int]) -> list[dict]:
+    """The rules, each under the one of its tokens that fewest urls have; "" where it has none."""
+    return [{"token": min(r.tokens(), key=lambda t: (seen.get(t, 0), t), default=""), "name": r.name, "regex": r.regex(), "verdict": r.verdict, "tier": r.tier, "size": len(r.pattern)} for r in rules]
+
+
+def candidates(own: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rules that each of ``own(url, host, path)`` must run: those filed under its tokens, or under none."""
+    placed = own.withColumn("at", F.concat("host", "path"))
+    tokens = F.array_distinct(F.regexp_extract_all(F.translate("at", _UPPER, _LOWER), F.lit("([a-z0-9]+)"), 1))
+    keyed = placed.select("url", "at", F.explode(F.concat(tokens, F.array(F.lit("")))).alias("token"))
+    wanted = sorted({t for r in rules for t in r.tokens()})
+    seen = {r.token: r.n for r in keyed.where(F.col("token").isin(wanted)).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()} if wanted else {}
+    return keyed.join(_rules_table(own.sparkSession, filed(rules, seen)), "token")
+
+
 def judge(urls: DataFrame, rules: list[Rule] | None = None, default: str = "allow") -> DataFrame:
     """``(url, host, path, rule, pattern, verdict)`` for each distinct url of ``urls(url)``.
 
@@ -73,16 +109,9 @@ def judge(urls: DataFrame, rules: list[Rule] | None = None, default: str = "allo
     null where nothing fits. A null url is a row like any other; no url gives no rows.
     """
     rules = SITE_RULES + PATTERNS if rules is None else rules
-    spark = urls.sparkSession
-    own = parts(urls.select("url").distinct()).withColumn("at", F.concat("host", "path"))
-    tokens = F.array_distinct(F.regexp_extract_all(F.translate("at", _UPPER, _LOWER), F.lit("([a-z0-9]+)"), 1))
-    keyed = own.select("url", "at", F.explode(F.concat(tokens, F.array(F.lit("")))).alias("token"))
-    wanted = sorted({t for r in rules for t in r.tokens()})
-    seen = {r.token: r.n for r in keyed.where(F.col("token").isin(wanted)).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()} if wanted else {}
-    filed = [{"token": min(r.tokens(), key=lambda t: (seen.get(t, 0), t), default=""), "name": r.name, "regex": r.regex(), "verdict": r.verdict, "tier": r.tier, "size": len(r.pattern)} for r in rules]
-    candidates = keyed.join(_rules_table(spark, filed), "token")
+    own = parts(urls.select("url").distinct())
     target = F.when(F.col("tier") == 1, F.col("at")).otherwise(F.translate("at", _UPPER, _LOWER))
-    fits = candidates.where(F.rlike(target, F.col("regex")))
+    fits = candidates(own, rules).where(F.rlike(target, F.col("regex")))
     best = fits.groupBy("url").agg(F.max(F.struct("tier", "size", "verdict", "name")).alias("best"))
     out = own.join(best.withColumnRenamed("url", "_u"), F.col("url").eqNullSafe(F.col("_u")), "left")
     named = lambda tier: F.when(F.col("best.tier") == tier, F.col("best.name"))
