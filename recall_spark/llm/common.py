@@ -38,7 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Like ``cut``, as a compressed table in the shared folder: for texts, and for what is read in parts."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
