@@ -67,11 +67,12 @@ def segments(counts: dict[int, int], shards: int, vnodes: int = 128, slack: floa
 def assign(docs: DataFrame, shards: int = 8, vnodes: int = 128, slack: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, size, text_crc32, shard, slot)`` for every row of ``docs``.
 
-    ``slot`` numbers a shard's rows from 0 without gaps. Ids are hashed as text, null like any other
-    id; rows of one id are ranked by size and checksum; repeated rows each have a slot of their own.
+    ``slot`` numbers a shard's rows from 0 without gaps. A row's key on the ring is its id as text, null
+    like any other, and its text, so rows that share an id are spread like others; only rows alike in
+    both share a bin, and are ranked by size and checksum. Each has a slot of its own.
     A null text has size 1 and checksum 0. An empty table gives an empty result.
     """
-    key = F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
+    key = F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.col(f"`{text_col}`"))
     spot = lambda df: df.withColumn("bin", (F.shiftright("h", 64 - BITS) + F.lit(BINS // 2)).cast("int"))
     counts = {r.bin: r.n for r in spot(docs.select(key.alias("h"))).groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}
     start = [0] * shards

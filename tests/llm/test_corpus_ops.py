@@ -1,5 +1,6 @@
 """Operators that compare documents with each other, and the pipeline, against brute force."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -202,6 +203,46 @@ def test_shards_are_balanced_and_gapless(spark):
     assert (null.size, null.text_crc32) == (1, 0)
 
 
+def plain_ring(keys, shards, vnodes, slack):
+    """Shard and slot of each of ``keys``, hashes in order, one key at a time."""
+    spot = lambda name: int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest()) % sharding.BINS
+    ring = sorted((spot(f"{s}/{v}"), s) for s in range(shards) for v in range(vnodes))
+    n = len(keys)
+    room = [-(-int(n * (1 + slack) * 10**9) // (shards * 10**9)) if slack else n // shards + (s < n % shards) for s in range(shards)]
+    bins = [(h >> 50) + sharding.BINS // 2 for h in keys]
+    home = [next((k for k, p in enumerate(ring) if p[0] >= b), 0) for b in bins]
+    shard = [None] * n
+    for k in range(n):  # First to their own shards, then what finds them full goes on clockwise.
+        s = ring[home[k]][1]
+        if room[s]:
+            shard[k], room[s] = s, room[s] - 1
+    for k in range(n):
+        at = home[k]
+        while shard[k] is None:
+            s = ring[at % len(ring)][1]
+            if room[s]:
+                shard[k], room[s] = s, room[s] - 1
+            at += 1
+    slots, out = Counter(), []
+    for s in shard:
+        out.append((s, slots[s]))
+        slots[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("shards,vnodes,slack", [(8, 128, 0.0), (3, 4, 0.0), (5, 16, 0.25), (1, 1, 0.0)])
+def test_shards_equal_a_ring_walked_by_hand(spark, shards, vnodes, slack):
+    r = random.Random(6)
+    rows = [(None if k % 17 == 0 else r.choice([k, 3]), r.choice([None, "", f"text {k}"])) for k in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("h", F.lit("x"))
+    found = sharding.assign(docs, shards, vnodes, slack).collect()
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("h"), (F.octet_length(text) + 1).alias("size"), F.crc32(text).alias("crc")).collect()
+    own = sorted(own, key=lambda x: (x.h, x.doc_id is not None, x.doc_id or 0, x.size, x.crc))
+    want = plain_ring([x.h for x in own], shards, vnodes, slack)
+    assert Counter((x.id, x.size, x.text_crc32, x.shard, x.slot) for x in found) == Counter((x.doc_id, x.size, x.crc, *w) for x, w in zip(own, want))
+
+
 @pytest.mark.parametrize("slack", [0.0, 0.1, 0.5])
 def test_bounded_loads_move_little(slack):
     r = random.Random(5)
