@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,17 +44,49 @@ def deduplicated(rows: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataF
     return new, again
 
 
-def nearest_by_words(new: DataFrame, existing: DataFrame) -> DataFrame:
+def nearest_by_words(new: DataFrame, existing: DataFrame, parts: int = 32) -> DataFrame:
     """``(index_id, content_hash, nearest_id, overlap)``: the existing node that shares the largest
-    part of its words with each new content. Words meet on equality; texts are never crossed."""
+    part of its words with each new content; of equal ones the one with the last id.
+
+    An index's nodes are dealt into ``parts`` groups and its new contents meet each of them. A group
+    keeps its new contents as lists of those that have a word, adds these up node by node, and gives on
+    one best node for each: pairs are counted, never made into rows.
+    """
     words = lambda c: F.filter(F.split(F.lower(F.trim(c)), r"\s+"), lambda w: w != "")
-    left = new.select("index_id", "content_hash", F.size(words(F.col("content"))).alias("n1"), F.explode(words(F.col("content"))).alias("word"))
-    left = left.groupBy("index_id", "content_hash", "n1", "word").agg(F.count(F.lit(1)).alias("times"))
-    right = existing.select("index_id", "neuron_id", F.size(words(F.col("content"))).alias("n2"), F.explode(F.array_distinct(words(F.col("content")))).alias("word"))
-    shared = left.join(right, ["index_id", "word"]).groupBy("index_id", "content_hash", "neuron_id", "n1", "n2").agg(F.sum("times").alias("both"))
-    score = F.col("both") / F.greatest("n1", "n2")
-    best = F.max(F.struct(score.alias("s"), F.col("neuron_id").alias("id")))
-    return shared.groupBy("index_id", "content_hash").agg(best.alias("b")).select("index_id", "content_hash", F.col("b.id").alias("nearest_id"), F.col("b.s").alias("overlap"))
+    left = new.select("index_id", "content_hash", words(F.col("content")).alias("words"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    right = existing.select("index_id", "neuron_id", words(F.col("content")).alias("words"), F.pmod(F.xxhash64("neuron_id"), F.lit(parts)).cast("int").alias("part"))
+    found = left.groupBy("index_id", "part").cogroup(right.groupBy("index_id", "part")).applyInArrow(_nearest, "index_id string, content_hash string, neuron_id string, s double")
+    return found.groupBy("index_id", "content_hash").agg(F.max(F.struct("s", "neuron_id")).alias("b")).select("index_id", "content_hash", F.col("b.neuron_id").alias("nearest_id"), F.col("b.s").alias("overlap"))
+
+
+def _nearest(new: pa.Table, nodes: pa.Table) -> pa.Table:
+    hashes, n = new.column("content_hash").to_pylist(), new.num_rows
+    own = new.column("words").to_pylist()
+    lists: dict[str, tuple[list[int], list[int]]] = {}
+    for i, words in enumerate(own):
+        for w, times in Counter(words).items():
+            at, often = lists.setdefault(w, ([], []))
+            at.append(i)
+            often.append(times)
+    having = {w: (np.array(a, np.int64), np.array(t, np.float64)) for w, (a, t) in lists.items()}
+    sizes = np.array([len(w) for w in own], np.int64)
+    best, who = np.zeros(n), [None] * n
+    ids = nodes.column("neuron_id").to_pylist()
+    for k in sorted(range(len(ids)), key=lambda k: ids[k] or ""):
+        words = nodes.column("words")[k].as_py() or []
+        met = [having[w] for w in set(words) if w in having]
+        if not met:
+            continue
+        both = np.bincount(np.concatenate([a for a, _ in met]), np.concatenate([t for _, t in met]), n)
+        share = both / np.maximum(sizes, len(words))
+        # In order of ids, so that of equal shares the last id stays.
+        for i in np.flatnonzero((share >= best) & (share > 0)):
+            best[i], who[i] = share[i], ids[k]
+    kept = [i for i in range(n) if who[i] is not None]
+    index = new.column("index_id").to_pylist()
+    columns = [[index[i] for i in kept], [hashes[i] for i in kept], [who[i] for i in kept], [float(best[i]) for i in kept]]
+    kinds = (pa.string(), pa.string(), pa.string(), pa.float64())
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["index_id", "content_hash", "neuron_id", "s"])
 
 
 def write(existing: DataFrame, rows: DataFrame, as_of: Column, config: EngineConfig | None = None, embedder=None, seed: int = 0) -> Written:
