@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,13 +36,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """Like ``cut``, as a compressed table in the shared folder: for texts, and for what is read in parts."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """A folder taken away, wherever it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Takes away the tables that are ``written`` inside, for a caller who has written the result by then."""
+    before = len(_WRITTEN)
+    yield
+    for path in _WRITTEN[before:]:
+        removed(spark, path)
+    del _WRITTEN[before:]
+
+
 #: Session settings that bound an Arrow batch of whole texts, and Spark's own values of them.
 _BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("1000", "10000")}
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -276,6 +277,40 @@ def test_pipeline_stages(spark):
     assert all(len(x.ids) == 4 * x.n_tokens for x in final)
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    r = random.Random(21)
+    prose = lambda n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 10))) for _ in range(n))
+    good = [prose(r.randint(80, 200)) for _ in range(12)]
+    item = table(spark, SF, "benchmark").first().text
+    near = good[0].split(" ")
+    near[40] = "other"
+    texts = [*good, good[0], " ".join(near), prose(60) + " " + item + " " + prose(60), None, "", " \n", "short", "x" * 20000, "word " * 5000]
+    rows = [(None if k in (3, 4, 5) else 7 if k in (6, 8) else k, t, None if k == 9 else "en", None if k == 10 else "s", 1, "r", k, "h") for k, t in enumerate(texts)]
+    rows += [rows[1], rows[1], rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string, k int, hash string")
+    names, now = docs.columns, docs
+    kept = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, SF)
+        assert now.columns == names
+        kept.append(Counter(x.k for x in now.collect()))
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    clean = set(range(12))
+    assert set(kept[0]) == clean | {12, 13, 14} and kept[0][1] == 3
+    assert set(kept[1]) == clean | {14} and set(kept[2]) == clean | {14}
+    assert kept[2][1] == 1 and kept[2][3] == 1 and kept[3] == Counter({k: 1 for k in clean})
+    last = corpus_pipeline.STAGES[-1][1](spark, now, SF)
+    assert last.count() == 12 and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+    assert last.where("ids_sha256 is null or n_tokens = 0").count() == 0
+
+
+def test_pipeline_leaves_its_last_rows_only(spark, tmp_path):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    found = corpus_pipeline.run(spark, SF)
+    assert found.count() > 50
+    assert [len(list(p.iterdir())) for p in Path(folder).glob("pipeline-*")][-1] == 1
+
+
 def test_fingerprint_query_matches_brute_force(spark):
     texts = {x.doc_id: x.text for x in table(spark, SF, "documents").collect()}
     got = {x.doc_id: x for x in queries.op1_simhash(spark, SF).collect()}
