@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from recall_spark.functions import sentiment as S
 from recall_spark.functions import text as X
@@ -211,18 +212,19 @@ def batch(nodes: DataFrame, queries: DataFrame, as_of: Column, k: int = 20, bloc
     asked = queries.select("query_id", "index_id", "query", X.tokens(F.col("query")).alias("query_tokens")).where(F.size("query_tokens") > 0)
     tokens = F.col("tokens") if "tokens" in nodes.columns else X.tokens(F.col("content"))
     prepared = nodes.select("index_id", "neuron_id", "content", tokens.alias("tokens"), dynamics(as_of).alias("dynamics"))
-    kind = queries.schema["query_id"].dataType.simpleString()
+    kind = queries.schema["query_id"].dataType
+    kinds = (to_arrow_type(kind), pa.string(), pa.string(), pa.float64())
     out = None
     blocks = -(-max(1, asked.count()) // block)
     for b in range(blocks):
         rows = [tuple(r) for r in asked.where(F.pmod(F.xxhash64("query_id", "index_id", "query"), F.lit(blocks)) == b).collect()]
-        found = prepared.mapInArrow(_best(rows, k), f"query_id {kind}, index_id string, neuron_id string, score double")
+        found = prepared.mapInArrow(_best(rows, k, kinds), f"query_id {kind.simpleString()}, index_id string, neuron_id string, score double")
         out = found if out is None else out.unionByName(found)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "neuron_id")
     return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "index_id", "neuron_id", "score")
 
 
-def _best(rows: list[tuple], k: int):
+def _best(rows: list[tuple], k: int, kinds: tuple):
     def run(batches):
         asked = _Asked(rows) if rows else None
         for part in batches:
@@ -236,7 +238,7 @@ def _best(rows: list[tuple], k: int):
                 for q, best in enumerate(np.argsort(-ranked, axis=0, kind="stable")[:k].T):
                     got += [(asked.ids[q], index[order[i]], neuron[order[i]], float(ranked[i, q])) for i in best if ranked[i, q] > 0]
                 if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got)], names=["query_id", "index_id", "neuron_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), kinds)], names=["query_id", "index_id", "neuron_id", "score"])
 
     return run
 

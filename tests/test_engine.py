@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recall_spark import errors, schema
 from recall_spark.config import EngineConfig, clamp, parse_connection, seconds
 from recall_spark.engine import MemoryEngine
-from recall_spark.operators import commands, context, dynamics, filters, lifecycle, observe, scoring, spatial, spread
+from recall_spark.operators import commands, context, dynamics, filters, ingest, lifecycle, observe, scoring, spatial, spread
 from recall_spark.sources.registry import Registry
 from recall_spark.sources.store import GraphStore
 
@@ -306,6 +306,39 @@ def test_store_and_registry(spark, tmp_path):
     assert observe.integrity(store.read("neurons"), store.read("synapses")).first().dangling_synapses == 0
 
 
+def test_batch_scores_equal_single_searches(spark):
+    r = random.Random(5)
+    bits = ["green", "greener", "gr", "tea", "teapot", "unable", "able", "é", "éclair", "日本", "pot", "x", "GREEN", "te", "able-bodied"]
+    say = lambda n: r.choice([" ", ", ", " - "]).join(r.choice(bits) for _ in range(n))
+    rows = [neuron(f"n{k:03d}", say(r.randint(0, 12)), index=r.choice("ab"), energy=r.random(), depth=k % 3, access_count=k) for k in range(120)]
+    asked = [(k, r.choice(["a", "b", None]), q) for k, q in enumerate([say(r.randint(1, 6)) for _ in range(25)] + ["", ". ,", "gren", "teapt", "éclar", "able", "green, tea"])]
+    nodes = neurons(spark, *rows)
+    got = scoring.batch(nodes, spark.createDataFrame(asked, "query_id int, index_id string, query string"), AT, 500, block=7).collect()
+    have = {}
+    for x in got:
+        have.setdefault(x.query_id, []).append((x.rank, x.neuron_id, round(x.score, 9)))
+    for k, index, q in asked:
+        where = nodes if index is None else nodes.where(F.col("index_id") == index)
+        want = scoring.scored(where, q, AT).orderBy(F.desc("score"), "neuron_id").collect()
+        assert sorted(have.get(k, [])) == [(n, x.neuron_id, round(x.score, 9)) for n, x in enumerate(want, 1)], q
+    few = scoring.batch(nodes, spark.createDataFrame(asked, "query_id int, index_id string, query string"), AT, 3).collect()
+    assert {(x.query_id, x.rank, x.neuron_id) for x in few} == {(k, n, i) for k, v in have.items() for n, i, _ in v if n <= 3}
+
+
+def test_nearest_by_words_equals_brute_force(spark):
+    r = random.Random(6)
+    say = lambda n: " ".join(r.choice(["the", "The", "a", "cat", "dog", "é", "mat", "sat"]) for _ in range(n))
+    new = [(r.choice("ab"), f"h{k}", say(r.randint(0, 6))) for k in range(40)]
+    old = [(r.choice("ab"), f"n{k}", say(r.randint(0, 6))) for k in range(60)]
+    df = lambda rows, c: spark.createDataFrame(rows, f"index_id string, {c} string, content string")
+    got = {(x.index_id, x.content_hash): (x.nearest_id, x.overlap) for x in ingest.nearest_by_words(df(new, "content_hash"), df(old, "neuron_id"), 4).collect()}
+    for i, h, c in new:
+        own = c.lower().split()
+        every = [(sum(w in set(o.lower().split()) for w in own) / max(len(own), len(o.split()), 1), n) for j, n, o in old if i == j]
+        best = max(every)
+        assert got.get((i, h)) == ((best[1], best[0]) if best[0] > 0 else None)
+
+
 def test_store_writes_touched_indexes_only(spark, tmp_path):
     store = GraphStore.open(spark, str(tmp_path / "s"))
     store.commit({"neurons": neurons(spark, *[neuron(f"n{k}", "text", index=f"i{k}") for k in range(6)])})
