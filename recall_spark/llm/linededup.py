@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recall_spark.functions.binding import let
-from recall_spark.llm.common import may_hold, text_hash, written
+from recall_spark.llm.common import may_hold, settled, text_hash, written
 
 #: Characters of a word that ends a line.
 LONG = 7
@@ -165,8 +165,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and text are one document: they don't remove each other. Null ids come first.
     An empty table gives an empty result.
     """
-    gone = repeats(docs, id_col, text_col).groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.array_sort(F.collect_set(F.struct("a", "z", "chars"))).alias("gone"))
-    gone = written(gone.where(_longest(F.col("gone")) >= min_chars))
+
+    def ranges() -> DataFrame:
+        gone = repeats(docs, id_col, text_col).groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.array_sort(F.collect_set(F.struct("a", "z", "chars"))).alias("gone"))
+        return gone.where(_longest(F.col("gone")) >= min_chars)
+
+    gone = settled(docs.sparkSession, ranges, written)
     # The caller's columns go along one by one; a struct's fields can be lost in a row of generators.
     own = {f"_c{i}": c for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in own.items()], F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), text_hash(F.col(f"`{text_col}`")).alias("mark"))

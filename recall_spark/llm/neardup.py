@@ -4,8 +4,9 @@ A text is the set of hashes of its word 5-shingles. Put in one order for all tex
 texts that are similar at ``least`` or more share at least one in each other's prefix of
 ``n - ceil(least * n) + 1``, whatever the order is (prefix filtering, Chaudhuri et al. 2006), so no
 similar pair is missed. The order puts shingles last that are common in a sample of texts, which keeps
-prefixes rare; it decides how much is compared, never what is found. Each candidate pair is verified
-on the whole sets.
+prefixes rare; it decides how much is compared, never what is found. Each candidate pair
+is verified on the whole sets; a bitmap of parities, a thirtieth of their size, drops most that can't be
+similar before any set travels.
 
 Copies are folded to one text, by a 64-bit hash, before anything is compared. Texts of one prefix
 shingle are first verified against a pivot, which links a large group in linear work; only pairs that
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recall_spark.llm.common import cut, may_hold, small_batches, survivors, text_hash, written
+from recall_spark.llm.common import cut, may_hold, settled, small_batches, survivors, text_hash, written
 from recall_spark.llm.graph import connected_components
 
 SEED = 42
@@ -84,20 +85,62 @@ def _close(least: int) -> Column:
     return lo * 1000 >= hi * least
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, size: int, least: int) -> DataFrame:
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """How often each value of the hashes' lowest bits occurs, modulo 2, as a bitmap of two to four bits a hash."""
+    size = 64
+    while size < 2 * len(hashes):
+        size *= 2
+    odd = (np.bincount(hashes & (size - 1), minlength=size) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _unlike(x: pa.Array, y: pa.Array) -> pa.Array:
+    """In how many values two sets differ at least, row by row, by their ``parities``: a value that is in
+    both changes no bit. The longer bitmap is folded to the other's size."""
+    xs, ys, xo, yo = x.values.to_numpy(), y.values.to_numpy(), x.offsets.to_numpy(), y.offsets.to_numpy()
+    found = []
+    for a, b, c, d in zip(xo, xo[1:], yo, yo[1:]):
+        p, q = sorted((xs[a:b], ys[c:d]), key=len)
+        while len(q) > len(p):
+            q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+        found.append(int(np.bitwise_count((p ^ q).view(np.uint64)).sum()))
+    return pa.array(found, pa.int64())
+
+
+def _similar(pairs: DataFrame, own: DataFrame, texts: DataFrame, size: int, least: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose texts' sets have a Jaccard similarity of ``least`` or more.
 
-    Only texts that are in a pair are made into sets and travel.
+    A pair whose ``parities`` differ in more bits than such sets can is dropped first. Only texts that are
+    in a pair by then are made into sets and travel.
     """
+
+    def both(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+        # Both joins shuffle ``of`` by one plan, so that Spark does it once.
+        first = pairs.select("a", "b").join(of, F.col("a") == F.col("node")).select("a", "b", *[F.col(c).alias(f"x_{c}") for c in columns])
+        return first.join(of, F.col("b") == F.col("node")).select("a", "b", *[f"x_{c}" for c in columns], *[F.col(c).alias(f"y_{c}") for c in columns])
+
+    def once(of: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+        met = of.join(nodes, F.col("node") == F.col("hash"), "left_semi")
+        return written(met.groupBy("node").agg(*[F.first(c).alias(c) for c in columns]))
+
+    def named(pairs: DataFrame) -> DataFrame:
+        return cut(pairs.select(F.explode(F.array("a", "b")).alias("hash")).distinct())
+
+    def likely() -> DataFrame:
+        nodes = named(pairs)
+        maps = once(own.where(may_hold(nodes)(F.col("node"))).select("node", "n", "map"), nodes, "n", "map")
+        met = both(pairs, maps, "n", "map").select("a", "b", (F.col("x_n") + F.col("y_n")).alias("sum"), F.arrow_udf(_unlike, "long").asNondeterministic()("x_map", "y_map").alias("d"))
+        return met.where(F.col("d") * (1000 + least) <= F.col("sum") * (1000 - least)).select("a", "b")
+
+    def equal() -> DataFrame:
+        nodes = named(left)
+        sets = once(texts.where(may_hold(nodes)(F.col("node"))).select("node", _sets(size)("t").alias("set")), nodes, "set")
+        met = both(left, sets, "set").select("a", "b", (F.size("x_set") + F.size("y_set")).alias("sum"), F.arrow_udf(_shared, "long").asNondeterministic()("x_set", "y_set").alias("n"))
+        return met.where(F.col("n") * 1000 >= (F.col("sum") - F.col("n")) * least).select("a", "b")
+
     pairs = cut(pairs)
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("hash")).distinct())
-    sets = texts.where(may_hold(nodes)(F.col("node"))).select("node", _sets(size)("t").alias("set"))
-    sets = written(sets.join(nodes, F.col("node") == F.col("hash"), "left_semi").groupBy("node").agg(F.first("set").alias("set")))
-    # Both joins shuffle the sets by one plan, so that Spark does it once.
-    both = pairs.join(sets, F.col("a") == F.col("node")).select("a", "b", F.col("set").alias("x"))
-    both = both.join(sets, F.col("b") == F.col("node")).select("a", "b", "x", F.col("set").alias("y"))
-    both = both.select("a", "b", (F.size("x") + F.size("y")).alias("sum"), F.arrow_udf(_shared, "long").asNondeterministic()("x", "y").alias("n"))
-    return cut(both.where(F.col("n") * 1000 >= (F.col("sum") - F.col("n")) * least).select("a", "b"))
+    left = settled(texts.sparkSession, likely)
+    return settled(texts.sparkSession, equal)
 
 
 def links(texts: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
@@ -109,11 +152,17 @@ def links(texts: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFram
 
     def first(text: pa.Array) -> pa.Array:
         sets = [shingles(x.as_py(), size) for x in text]
-        parts = [pa.array([len(x) for x in sets], pa.int64()), pa.array([prefix(x, common, counts, least) for x in sets], pa.list_(pa.int64()))]
-        return pa.StructArray.from_arrays(parts, names=["n", "prefix"])
+        parts = {
+            "n": pa.array([len(x) for x in sets], pa.int64()),
+            "map": pa.array([parities(x) for x in sets], pa.list_(pa.int64())),
+            "prefix": pa.array([prefix(x, common, counts, least) for x in sets], pa.list_(pa.int64())),
+        }
+        return pa.StructArray.from_arrays(list(parts.values()), names=list(parts))
 
     first.__annotations__ = {"text": pa.Array, "return": pa.Array}
-    own = texts.select("node", F.arrow_udf(first, "struct<n:long,prefix:array<long>>")("t").alias("p")).select("node", "p.n", "p.prefix")
+    made = F.arrow_udf(first, "struct<n:long,map:array<long>,prefix:array<long>>")("t").alias("p")
+    # Read several times: texts are made into sets once.
+    own = written(texts.select("node", made).select("node", "p.*"))
     keyed = own.select("node", "n", F.explode("prefix").alias("key"))
     # Only keys that two rows may have travel with their texts.
     twice = keyed.select(F.col("key").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hash")
@@ -124,7 +173,7 @@ def links(texts: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFram
     pivots = shared.groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "node", "n")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("m"))
     stars = shared.join(pivots, "key").where((F.col("node") != F.col("pivot")) & _close(least))
     stars = cut(stars.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
-    linked = _similar(stars, texts, size, least)
+    linked = _similar(stars, own, texts, size, least)
     roots = connected_components(linked).withColumnRenamed("root", "_root")
     held = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("_root", "node").alias("root"))
     split = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
@@ -132,7 +181,7 @@ def links(texts: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFram
     other = held.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
     rest = held.withColumnRenamed("node", "a").join(other, "key").where((F.col("root") < F.col("other")) & _close(least))
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    return linked.unionByName(_similar(rest, texts, size, least))
+    return linked.unionByName(_similar(rest, own, texts, size, least))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: int = LEAST) -> DataFrame:
@@ -140,5 +189,5 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the least id's, a null id only where there is no other."""
     text = F.col(f"`{text_col}`")
     texts = small_batches(docs).select(text_hash(text).alias("node"), text.cast("binary").alias("t"))
-    roots = connected_components(links(texts, size, least))
+    roots = settled(docs.sparkSession, lambda: connected_components(links(texts, size, least)))
     return survivors(docs, text_hash(text), roots, id_col)

@@ -115,6 +115,25 @@ def test_near_duplicate_stage_finds_all_at_similarity(spark):
     assert neardup.deduplicated(df.limit(0)).count() == 0
 
 
+def test_parities_are_a_lower_bound_of_what_differs():
+    r = np.random.default_rng(3)
+    for n, m, both in ((1, 1, 0), (3, 40, 2), (300, 310, 290), (500, 530, 0), (5000, 4200, 4100), (64, 64, 64)):
+        every = r.integers(-(1 << 62), 1 << 62, n + m - both)
+        x, y = every[:n], every[n - both :]
+        lists = [neardup.pa.array([neardup.parities(v)], neardup.pa.list_(neardup.pa.int64())) for v in (x, y)]
+        least = neardup._unlike(*lists)[0].as_py()
+        assert least <= n + m - 2 * both and (n + m - 2 * both - least) % 2 == 0
+        assert least > (n + m) / 9 or 9 * both >= 4 * (n + m)
+
+
+def test_operators_take_away_the_tables_they_no_longer_read(spark):
+    docs = table(spark, SF, "documents")
+    tables = lambda: set(Path(spark.conf.get("spark.checkpoint.dir")).glob("table-*"))
+    for stage, most in ((linededup.cleaned, 1), (neardup.deduplicated, 0)):
+        before = tables()
+        assert stage(docs).count() > 50 and len(tables() - before) <= most
+
+
 def test_rows_without_own_ids_are_not_lost(spark):
     r = random.Random(5)
     text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) + "." for _ in range(60))
