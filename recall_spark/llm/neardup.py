@@ -1,10 +1,12 @@
-"""Near-duplicates by Jaccard similarity of word shingles, exact at the threshold.
+"""Near-duplicates by SimHash, then by Jaccard similarity of word shingles, exact at the threshold.
 
-A text is the set of hashes of its word 5-shingles. Put in one order for all texts, the hashes of two
+A text is the set of hashes of its word 5-shingles. Its SimHash is taken of them, and the blocks of
+``simhash.links`` name the pairs that are nearest. Texts that are similar at 0.8 differ in some ten bits
+of 64, which no blocks can find, so prefixes name the rest. Put in one order for all texts, the hashes of two
 texts that are similar at ``least`` or more share at least one in each other's prefix of
 ``n - ceil(least * n) + 1``, whatever the order is (prefix filtering, Chaudhuri et al. 2006), so no
 similar pair is missed. The order puts shingles last that are common in a sample of texts, which keeps
-prefixes rare; it decides how much is compared, never what is found. Each candidate pair
+prefixes rare; it decides how much is compared, never what is found. Each candidate pair, of either kind,
 is verified on the whole sets; a bitmap of parities, a thirtieth of their size, drops most that can't be
 similar before any set travels.
 
@@ -23,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recall_spark.llm import simhash
 from recall_spark.llm.common import cut, may_hold, settled, small_batches, survivors, text_hash, written
 from recall_spark.llm.graph import connected_components
 
@@ -143,6 +146,17 @@ def _similar(pairs: DataFrame, own: DataFrame, texts: DataFrame, size: int, leas
     return settled(texts.sparkSession, equal)
 
 
+def _by_simhash(own: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes by SimHash's blocks: the least of each fingerprint with the others of it,
+    and with the least of each fingerprint at ``simhash.MAX_BITS`` bits or fewer."""
+    first = cut(own.groupBy("print").agg(F.min("node").alias("least")))
+    near = simhash.links(first.select(F.col("print").alias("fingerprint")))
+    far = near.join(first, F.col("a") == F.col("print")).select("b", F.col("least").alias("x"))
+    far = far.join(first, F.col("b") == F.col("print")).select("x", F.col("least").alias("y"))
+    same = own.join(first, "print").where(F.col("node") > F.col("least")).select(F.col("node").alias("x"), F.col("least").alias("y"))
+    return far.unionByName(same).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def links(texts: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """Edges ``(a, b)`` that connect the nodes of ``texts(node, t)`` exactly as all pairs at ``least`` would.
 
@@ -154,15 +168,17 @@ def links(texts: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFram
         sets = [shingles(x.as_py(), size) for x in text]
         parts = {
             "n": pa.array([len(x) for x in sets], pa.int64()),
+            "print": pa.array([simhash.of_hashes(x) for x in sets], pa.int64()),
             "map": pa.array([parities(x) for x in sets], pa.list_(pa.int64())),
             "prefix": pa.array([prefix(x, common, counts, least) for x in sets], pa.list_(pa.int64())),
         }
         return pa.StructArray.from_arrays(list(parts.values()), names=list(parts))
 
     first.__annotations__ = {"text": pa.Array, "return": pa.Array}
-    made = F.arrow_udf(first, "struct<n:long,map:array<long>,prefix:array<long>>")("t").alias("p")
+    made = F.arrow_udf(first, "struct<n:long,print:long,map:array<long>,prefix:array<long>>")("t").alias("p")
     # Read several times: texts are made into sets once.
     own = written(texts.select("node", made).select("node", "p.*"))
+    nearest = _similar(_by_simhash(own), own, texts, size, least)
     keyed = own.select("node", "n", F.explode("prefix").alias("key"))
     # Only keys that two rows may have travel with their texts.
     twice = keyed.select(F.col("key").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hash")
@@ -173,7 +189,7 @@ def links(texts: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFram
     pivots = shared.groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "node", "n")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("m"))
     stars = shared.join(pivots, "key").where((F.col("node") != F.col("pivot")) & _close(least))
     stars = cut(stars.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
-    linked = _similar(stars, own, texts, size, least)
+    linked = nearest.unionByName(_similar(stars, own, texts, size, least))
     roots = connected_components(linked).withColumnRenamed("root", "_root")
     held = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("_root", "node").alias("root"))
     split = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")

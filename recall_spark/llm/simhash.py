@@ -30,6 +30,24 @@ SHINGLE = 3
 _BLOCK = 1 << 13
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """In how many of at most ``_BLOCK`` hashes each bit is 1."""
+    bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64)
+    return np.add.reduce(bits, axis=0, dtype=np.uint16)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of 64-bit shingle hashes, of any shingles."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        ones += _ones(hashes[at : at + _BLOCK])
+    return _majority(ones, len(hashes))
+
+
 def fingerprint(text: bytes | None) -> int:
     """Signed 64-bit SimHash of the word 3-shingles of UTF-8 ``text``; 0 where there is no word."""
     words = (text or b"").lower().split()
@@ -44,10 +62,8 @@ def fingerprint(text: bytes | None) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, n, _BLOCK):
         to = min(n, at + _BLOCK)
-        h = np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts[at:to], ends[at + SHINGLE - 1 : to + SHINGLE - 1])], np.uint64)
-        bits = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64)
-        ones += np.add.reduce(bits, axis=0, dtype=np.uint16)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
+        ones += _ones(np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts[at:to], ends[at + SHINGLE - 1 : to + SHINGLE - 1])], np.uint64))
+    return _majority(ones, n)
 
 
 def _fingerprints(text: pa.Array) -> pa.Array:

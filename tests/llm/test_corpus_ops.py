@@ -134,6 +134,22 @@ def test_operators_take_away_the_tables_they_no_longer_read(spark):
         assert stage(docs).count() > 50 and len(tables() - before) <= most
 
 
+def test_near_dedup_goes_by_simhash_too(spark, monkeypatch):
+    r = random.Random(8)
+    base = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(900)) for _ in range(6)]
+    texts = base + [b + " end" for b in base]
+    prints = [simhash.of_hashes(neardup.shingles(t.encode())) for t in texts]
+    apart = lambda a, b: ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count()
+    want = {(max(a, b), min(a, b)) for a in range(12) for b in range(a) if apart(a, b) <= simhash.MAX_BITS}
+    assert want == {(k + 6, k) for k in range(6)}
+    assert {(x.a, x.b) for x in neardup._by_simhash(spark.createDataFrame(list(enumerate(prints)), "node bigint, print bigint")).collect()} == want
+    asked = []
+    own = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda d, *a: asked.append(d.count()) or own(d, *a))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, df, SF).collect()} == set(range(6)) and asked == [len(set(prints))]
+
+
 def test_rows_without_own_ids_are_not_lost(spark):
     r = random.Random(5)
     text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) + "." for _ in range(60))
